@@ -5,8 +5,53 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passagework.llm import leakage, spans, splitting
-from passagework.workspace import table
+from passagework.llm import leakage, neardup, neighbours, spans, splitting
+from passagework.llm.components import components
+from passagework.workspace import materialise, table
+
+
+def _p2(spark: SparkSession, d: str, every: int) -> DataFrame:
+    vectors = table(spark, d, "chunks").where("embedding_model = 'nw-embed-2'").select(F.col("chunk_id").alias("id"), "embedding")
+    return neighbours.nearest(vectors, F.col("id") % every == 0)
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    pairs = _p2(spark, d, 97)
+    return pairs.select(F.least("query_id", "neighbour_id").alias("chunk_id_a"), F.greatest("query_id", "neighbour_id").alias("chunk_id_b")).distinct()
+
+
+def p2_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """Ranked neighbours of every hundredth chunk, against all chunks."""
+    return _p2(spark, d, 100).withColumn("similarity", F.round("similarity", 6))
+
+
+CHUNKS = neardup.Similar(threshold=700, rows=4, lists=32)
+TITLES = neardup.Similar(threshold=700, rows=5, lists=48)
+
+
+def _p4(spark: SparkSession, d: str):
+    chunks = table(spark, d, "chunks").select(F.col("chunk_id").alias("id"), F.col("content").alias("body"))
+    titles = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("title").alias("body"))
+    yield "chunk", neardup.similar_classes(chunks, neardup.word_shingles(3, 20), CHUNKS)
+    yield "title", neardup.similar_classes(titles, neardup.char_shingles(3, 15), TITLES)
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    a, b = [neardup.record_pairs(*found).select(F.lit(kind).alias("record_kind"), "id_a", "id_b") for kind, found in _p4(spark, d)]
+    return a.unionByName(b)
+
+
+def p4_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Every record of a group of near-duplicates with the group's least id and the number of similar classes."""
+    out = []
+    for kind, (links, members) in _p4(spark, d):
+        links = materialise(links, "near-links")
+        groups = components(links)
+        degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
+        sizes = members.groupBy("class_id").agg(F.count(F.lit(1)).alias("n_copies"))
+        full = members.join(sizes, "class_id").join(groups.withColumnRenamed("id", "class_id"), "class_id", "left").join(degree.withColumnRenamed("id", "class_id"), "class_id", "left")
+        out.append(full.where("component is not null or n_copies > 1").select(F.lit(kind).alias("record_kind"), "id", F.coalesce("component", "class_id").alias("group_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "n_copies"))
+    return out[0].unionByName(out[1])
 
 
 def p5_items(spark: SparkSession, d: str) -> DataFrame:
@@ -35,4 +80,4 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return spans.record_pairs(*spans.shared_spans(table(spark, d, "documents")))
 
 
-QUERIES = {"p5_found": p5_found, "p5_pieces": p5_pieces, "p7_found": p7_found, "p7_reparameterised": p7_reparameterised, "p8_found": p8_found}
+QUERIES = {"p2_found": p2_found, "p2_neighbours": p2_neighbours, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_pieces": p5_pieces, "p7_found": p7_found, "p7_reparameterised": p7_reparameterised, "p8_found": p8_found}

@@ -14,6 +14,15 @@ _WORDS = r"regexp_extract_all(lower(%s), '[\p{L}\p{N}]+')"
 _RUNS = "list_transform(range(1, len(w) - 11), lambda i: array_to_string(w[i:i+12], ' '))"
 
 SQL = {
+    "p4_found": f"""
+WITH c AS (SELECT DISTINCT chunk_id AS id, {_WORDS % "content"} AS w FROM chunks),
+t AS (SELECT DISTINCT doc_id AS id, array_to_string({_WORDS % "title"}, ' ') AS w FROM documents WHERE title IS NOT NULL),
+s AS (
+  SELECT DISTINCT 'chunk' AS record_kind, id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i+1] || ' ' || w[i+2])) AS g FROM c WHERE len(w) >= 20
+  UNION ALL SELECT DISTINCT 'title', id, unnest(list_transform(range(1, CAST(length(w) - 1 AS BIGINT)), lambda i: substr(w, i, 3))) FROM t WHERE length(w) >= 15),
+n AS (SELECT record_kind, id, count(*) AS n FROM s GROUP BY ALL),
+p AS (SELECT a.record_kind, a.id AS id_a, b.id AS id_b, count(*) AS i FROM s a JOIN s b ON a.record_kind = b.record_kind AND a.g = b.g AND a.id < b.id GROUP BY ALL)
+SELECT p.record_kind, id_a, id_b FROM p JOIN n x ON x.record_kind = p.record_kind AND x.id = id_a JOIN n y ON y.record_kind = p.record_kind AND y.id = id_b WHERE i * 10 >= 7 * (x.n + y.n - i)""",
     "p5_found": f"""
 SELECT DISTINCT record_kind, doc_id, item_no FROM (
   SELECT 'chunk' AS record_kind, doc_id, chunk_index AS item_no, {_tokens("content")} AS b, {_tokens("section_path")} AS t FROM chunks
