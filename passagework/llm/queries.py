@@ -5,11 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passagework.llm import leakage, neardup, neighbours, spans, splitting
+from passagework.llm import leakage, neardup, neighbours, packing, pii, spans, splitting
 from passagework.llm.components import components
 from passagework.workspace import materialise, table
 
 
+def p1_records(spark: SparkSession, d: str) -> DataFrame:
+    queries = table(spark, d, "access_events").select(F.lit("query").alias("record_kind"), F.col("access_id").alias("record_id"), F.col("query").alias("text"))
+    answers = table(spark, d, "query_outcomes").select(F.lit("answer").alias("record_kind"), F.col("outcome_id").alias("record_id"), F.col("answer").alias("text"))
+    return queries.unionByName(answers)
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return pii.mentions(p1_records(spark, d)).select("record_kind", "record_id", "entity_kind", "start_pos")
+
+
+def p1_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return pii.redacted(p1_records(spark, d))
+
+
 def _p2(spark: SparkSession, d: str, every: int) -> DataFrame:
     vectors = table(spark, d, "chunks").where("embedding_model = 'nw-embed-2'").select(F.col("chunk_id").alias("id"), "embedding")
     return neighbours.nearest(vectors, F.col("id") % every == 0)
@@ -68,6 +82,14 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return p5_pieces(spark, d).select("record_kind", "doc_id", "item_no").distinct()
 
 
+def p6_packing(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(table(spark, d, "documents").select("doc_id", "source", "text"))
+
+
+def p6_fill(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill_report(p6_packing(spark, d))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.verbatim_leaks(table(spark, d, "documents"), table(spark, d, "eval_cases")).select("case_id", "doc_id")
 
@@ -80,4 +102,4 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return spans.record_pairs(*spans.shared_spans(table(spark, d, "documents")))
 
 
-QUERIES = {"p2_found": p2_found, "p2_neighbours": p2_neighbours, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_pieces": p5_pieces, "p7_found": p7_found, "p7_reparameterised": p7_reparameterised, "p8_found": p8_found}
+QUERIES = {"p2_found": p2_found, "p2_neighbours": p2_neighbours, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_packing": p6_packing, "p6_fill": p6_fill, "p7_found": p7_found, "p7_reparameterised": p7_reparameterised, "p8_found": p8_found}
