@@ -4,8 +4,9 @@ One 64-bit hash function turns a record into the sorted set of its shingle hashe
 Candidates come from inverted lists of retained values. Single values make long lists where shingles are common
 (three-character substrings above all), so a list is kept per group of `rows` values retained together: under each of
 `lists` odd multipliers of the same hash the bottom `rows` values form one entry. Two records of Jaccard similarity s
-share a list with probability 1 - (1 - s**rows)**lists, 0.9998 at the thresholds used here. The union of two sketches
-estimates the similarity and filters, exact Jaccard of the full sets verifies.
+share a list with probability 1 - (1 - s**rows)**lists, 0.9998 at the thresholds used here. Parity bits that travel with
+the lists and then the union of two sketches, which estimates the similarity, filter; exact Jaccard of the full sets
+verifies.
 
 Defined results: null texts and texts under the least size are in no pair; records with equal shingle sets are one
 class, compared once; empty tables give empty results; a repeated id counts once; other columns are ignored.
@@ -82,7 +83,13 @@ def list_keys(h: np.ndarray, rows: int, multipliers: np.ndarray) -> np.ndarray:
     return np.concatenate(out)
 
 
-FEATURES = "id long, set_key binary, n int, shingles array<long>, lists array<long>"
+def parity(h: np.ndarray) -> np.ndarray:
+    """128 bits, each the parity of the values that fall on it. The bits in which two records differ are at most as many
+    as the values that only one of them has."""
+    return np.packbits((np.bincount((h >> np.uint64(57)).astype(np.int64), minlength=128) & 1).astype(np.uint8)).view(np.int64)
+
+
+FEATURES = "id long, set_key binary, n int, p0 long, p1 long, shingles array<long>, lists array<long>"
 
 
 def _features(make: Callable[[], Callable[[str], np.ndarray]], how: Similar):
@@ -95,8 +102,8 @@ def _features(make: Callable[[], Callable[[str], np.ndarray]], how: Similar):
                 h = of(text)
                 if len(h):
                     s = np.sort(signed(h))
-                    out.append((i, xxhash.xxh128_digest(s.tobytes()), len(s), s, signed(list_keys(h, how.rows, multipliers))))
-            yield pd.DataFrame(out, columns=["id", "set_key", "n", "shingles", "lists"]).astype({"id": "int64", "n": "int32"})
+                    out.append((i, xxhash.xxh128_digest(s.tobytes()), len(s), *parity(h), s, signed(list_keys(h, how.rows, multipliers))))
+            yield pd.DataFrame(out, columns=["id", "set_key", "n", "p0", "p1", "shingles", "lists"]).astype({"id": "int64", "n": "int32", "p0": "int64", "p1": "int64"})
 
     return run
 
@@ -109,9 +116,13 @@ def similar_classes(records: DataFrame, shingles, how: Similar) -> tuple[DataFra
     members = materialise(made.select("id", "set_key").distinct().join(least, "set_key").select("id", "class_id"), "near-members")
     leads = members.where("id = class_id").select("id").distinct()
     own = made.join(leads, "id", "left_semi")
-    posted = own.select("id", "n", F.explode("lists").alias("key"))
-    a, b = posted.select("key", F.col("id").alias("a"), F.col("n").alias("na")), posted.select("key", F.col("id").alias("b"), F.col("n").alias("nb"))
+    posted = own.select("id", "n", "p0", "p1", F.explode("lists").alias("key"))
+    side = lambda x: posted.select("key", *(F.col(c).alias(f"{c}{x}") for c in ("n", "p0", "p1")), F.col("id").alias(x))
+    a, b = side("a"), side("b")
     fits = (F.col("na") * 1000 >= F.col("nb") * how.threshold) & (F.col("nb") * 1000 >= F.col("na") * how.threshold)
+    # records that differ in more bits than the threshold leaves values to differ in are not similar: no pair is lost
+    differ = sum(F.bit_count(F.col(f"{c}a").bitwiseXOR(F.col(f"{c}b"))) for c in ("p0", "p1"))
+    fits = fits & (differ * (1000 + how.threshold) <= (F.col("na") + F.col("nb")) * (1000 - how.threshold))
     met = materialise(a.join(b, "key").where(F.col("a") < F.col("b")).where(fits).select("a", "b").distinct(), "near-met")
     used = met.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     sets = own.join(used, "id", "left_semi").dropDuplicates(["id"])
