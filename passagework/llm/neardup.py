@@ -114,8 +114,9 @@ def similar_classes(records: DataFrame, shingles, how: Similar) -> tuple[DataFra
     made = materialise(records.where("body is not null").select("id", "body").mapInPandas(_features(shingles, how), FEATURES), "near-features")
     least = made.groupBy("set_key").agg(F.min("id").alias("class_id"))
     members = materialise(made.select("id", "set_key").distinct().join(least, "set_key").select("id", "class_id"), "near-members")
-    leads = members.where("id = class_id").select("id").distinct()
-    own = made.join(leads, "id", "left_semi")
+    # written, these small sides have a known size, and the planner need not shuffle the features to meet them
+    copies = materialise(members.where("id <> class_id").select("id").distinct(), "near-copies")
+    own = made.join(copies, "id", "left_anti")
     posted = own.select("id", "n", "p0", "p1", F.explode("lists").alias("key"))
     side = lambda x: posted.select("key", *(F.col(c).alias(f"{c}{x}") for c in ("n", "p0", "p1")), F.col("id").alias(x))
     a, b = side("a"), side("b")
@@ -124,8 +125,8 @@ def similar_classes(records: DataFrame, shingles, how: Similar) -> tuple[DataFra
     differ = sum(F.bit_count(F.col(f"{c}a").bitwiseXOR(F.col(f"{c}b"))) for c in ("p0", "p1"))
     fits = fits & (differ * (1000 + how.threshold) <= (F.col("na") + F.col("nb")) * (1000 - how.threshold))
     met = materialise(a.join(b, "key").where(F.col("a") < F.col("b")).where(fits).select("a", "b").distinct(), "near-met")
-    used = met.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = own.join(used, "id", "left_semi").dropDuplicates(["id"])
+    used = materialise(met.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "near-used")
+    sets = made.join(used, "id", "left_semi").dropDuplicates(["id"])
     side = lambda x: sets.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("shingles").alias(f"s{x}"))
     both = met.join(side("a"), "a").join(side("b"), "b")
     low = lambda x: F.slice(F.col(x), 1, BOTTOM_K)
