@@ -18,11 +18,11 @@ _VOWEL = "a e i o u ae ia o e a i".split()
 _CODA = ["", "", "", "l", "n", "r", "s", "m", "th", "nd", "rk"]
 _SURNAME_ENDS = "worth stone ridge brook mere by ley field wick gard dale hollow quist vale gate moor inck ulin ander esco ovar ström sen son ski mann ton ham ez".split()
 _STREET_ENDS = "gate mead combe well den hurst field hill brook wood".split()
-_TOPICS = "invoice batch;retention window;offer letter;change request;cost centre;escalation path;latency budget;purchase order;onboarding kit;error budget;leave plan;signing key;credit note;runbook;quota;handover;baseline;forecast;playbook;dashboard;checklist;settlement file;incident timeline;approval chain;notice period;deadline;snapshot;backlog;liability cap;renewal notice;data map;threshold;severance term;capacity plan;failover drill;cutover plan".split(";")
-_SYSTEMS = "ledger sync;mail relay;tax calculator;payment gateway;search indexer;consent register;badge printer;queue relay;schema registry;ticket router;session cache;travel desk;vendor catalogue;card processor;leave planner;contract vault;report builder;feature flag store;alert pager;rate limiter;audit exporter;identity broker;currency table;deployment console;secrets broker;benefits desk".split(";")
+_TOPICS = "invoice batch;retention window;offer letter;change request;cost centre;escalation path;latency budget;purchase order;onboarding kit;error budget;leave plan;signing key;credit note;runbook;quota;handover;baseline;forecast;playbook;dashboard;checklist;settlement file;incident timeline;approval chain;notice period;deadline;snapshot;backlog;liability cap;renewal notice;data map;threshold;severance term;capacity plan;failover drill;cutover plan;archive;reconciliation;allowance;probation plan;reserve;rollback;access review;service account;audit trail;relocation grant;exception list;encryption policy;replica;travel rules;payroll run".split(";")
+_SYSTEMS = "ledger sync;mail relay;tax calculator;payment gateway;search indexer;consent register;badge printer;queue relay;schema registry;ticket router;session cache;travel desk;vendor catalogue;card processor;leave planner;contract vault;report builder;feature flag store;alert pager;rate limiter;audit exporter;identity broker;currency table;deployment console;secrets broker;benefits desk;payroll bridge;document parser;backup runner;invoice matcher;clearing adapter;tariff engine;webhook fan-out;expense portal".split(";")
 _TEAMS = "tax desk;people desk;hiring panel;legal counsel;treasury group;support crew;site lead;data steward;network crew;billing squad;on-call engineer;privacy officer;procurement office;security guild;works council;platform team;release manager;regional controller;finance partner".split(";")
-_EVENTS = "a failed deploy;board approval;the yearly review;a badge loss;an audit finding;a price change;the nightly import;a region outage;month-end close;a key rotation;the first warning;a schema change".split(";")
-_ADJ = "quarterly external frozen weekly mandatory pending temporary encrypted shared redacted legacy signed regional unpaid read-only provisional automated overdue critical partial".split()
+_EVENTS = "a failed deploy;board approval;the yearly review;a badge loss;an audit finding;a price change;the nightly import;a region outage;month-end close;a key rotation;the first warning;a schema change;the freeze window;the salary round;contract signature;the tax filing;a data request;a vendor switch".split(";")
+_ADJ = "quarterly external frozen weekly mandatory pending temporary encrypted shared redacted legacy signed regional unpaid read-only provisional automated overdue critical partial minor routine blocking priority cross-border unplanned consolidated escalated disputed internal staged manual nightly customer-facing voluntary".split()
 _MONTHS = "January February March April May June July August September October November December".split()
 _VERBS = "rejects exports archives encrypts reviews schedules drains rotates forwards annotates samples recalculates merges renews".split()
 _FIRMS = ["Holdings", "& Sons", "Logistics", "Foundry", "Partners", "Group", "GmbH", "Ltd", "Works", "Bank"]
@@ -97,17 +97,23 @@ class Drawer:
         d, a = self.digits, self.pick(string.ascii_uppercase[:4])
         q = self.pick(["QQ", "QQ", "QQ", self.pick("ABCEGHJ") + self.pick("ABCEGHJ")])
         v = self.pick([f"9{d(2)}-{d(2)}-{d(4)}", f"{d(3)}-{d(2)}-{d(4)}", f"9{d(2)} {d(2)} {d(4)}", f"9{d(8)}", f"{d(9)}", f"{q}-{d(6)}-{a}", f"{q} {d(2)} {d(2)} {d(2)} {a}", f"{q}{d(6)}{a}", f"X{d(8)}", f"{self.pick(string.ascii_uppercase)}{d(8)}"])
+        v = self.pick([v, v, v, v, f"{d(3)} {d(3)} {d(2)} {d(3)}", f"{d(2)} {d(3)} {d(3)} {d(3)}", f"{d(11)}"])
         return v.lower() if self.r.random() < 0.25 else v
 
     def street_address(self) -> str:
         s, n, p, d = self.pick(self.stems) + self.pick(_STREET_ENDS), self.r.randrange(1, 330), self.pick(self.places), self.digits
         code = f"{self.pick('KLTVXQ')}{self.pick('BQXZ')}{d(1)} {d(1)}X{self.pick('QKZ')}"
-        kind = self.pick(["Lane", "Ln", "Street", "St", "Avenue", "Ave", "Close", "Row", "Crescent", "Road", "Terrace", "Drive", "Gardens"])
+        kind = self.pick(["Lane", "Ln", "Street", "St", "Avenue", "Ave", "Close", "Row", "Crescent", "Road", "Rd.", "Blvd", "Boulevard", "Terrace", "Drive", "Gardens"])
         return self.pick([
             f"{n} {s} {kind}, {p} {code}", f"{n} {s} {kind}, {p}", f"{n} {s} {kind}\n{p}\n{code}", f"Flat {self.r.randrange(1, 40)}, {n} {s} {kind}, {p} {code}", f"Flat {self.r.randrange(1, 40)}, {n} {s} Terrace, {p} {code}",
             f"Apt {d(2)}{self.pick('ABC')}, {d(4)} {s} Avenue, {p}", f"{n} bis rue des {s}, 00{n:03d} {p}", f"{n} rue des {s}, {d(5)} {p}", f"{s}{self.pick(['str.', 'weg', 'straße', 'gasse'])} {n}, {d(5)} {p}", f"Calle {s} {n}, {self.r.randrange(1, 9)}.º {self.pick('ABC')}, {p}",
         ])
 
+    def typeset(self, value: str) -> str:
+        """Now and then with no-break blanks or hyphens."""
+        x = self.r.random()
+        return value.replace(" ", "\xa0") if x < 0.03 else value.replace("-", "\u2011") if x < 0.06 else value
+
     # not labelled ----------------------------------------------------------------------------------------------------
 
     def number(self) -> str:
@@ -168,6 +174,18 @@ where do I send the badge for {email}
 reset mfa for {email}
 forward to {email} and {email}
 who is {email}
+is {phone} our hotline for {event}
+is {phone} the number of the {team}
+NI number {identity_number} shows twice in payroll
+tax number {identity_number} is wrong on my payslip
+social security number {identity_number} belongs to {person_name}
+{phone}
+{email}
+text {person_name} on {phone}
+ask {person_name} about the {topic}
+{person_name} from {place} left, close {ticket}
+parcel for {person_name}, {street_address}
+is {street_address} still the office of {firm}
 add {email} to the {topic}
 pls ring me: {phone} ({person_name})
 call me back on {phone} about {ticket}
@@ -229,6 +247,12 @@ does build {version} fix {code}
 who is behind {handle}
 ticket {number} reopened {date}
 why was invoice {number} rejected
+status of {ticket}
+serial {asset} warranty
+order no. {number} still open
+order no. {number} from {firm}
+refund of {big} credits on {date}
+{number} is that our invoice number
 order {number} not delivered to {place}
 serial {number} of the {system}
 block traffic from {ip} on the {system}
@@ -269,7 +293,7 @@ def sentence(drawer: Drawer, pattern: str) -> tuple[str, list[tuple[int, int, in
     out, spans = "", []
     for text, field in _parts(pattern):
         if field:
-            value = drawer.fill(text)
+            value = drawer.typeset(drawer.fill(text))
             if text in KINDS:
                 if text in ("person_name", "email", "street_address"):
                     value = _case(drawer, value)

@@ -102,4 +102,4 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return spans.record_pairs(*spans.shared_spans(table(spark, d, "documents")))
 
 
-QUERIES = {"p2_found": p2_found, "p2_neighbours": p2_neighbours, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_packing": p6_packing, "p6_fill": p6_fill, "p7_found": p7_found, "p7_reparameterised": p7_reparameterised, "p8_found": p8_found}
+QUERIES = {"p1_found": p1_found, "p1_redacted": p1_redacted, "p2_found": p2_found, "p2_neighbours": p2_neighbours, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_packing": p6_packing, "p6_fill": p6_fill, "p7_found": p7_found, "p7_reparameterised": p7_reparameterised, "p8_found": p8_found}
