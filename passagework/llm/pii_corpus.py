@@ -106,7 +106,7 @@ class Drawer:
         kind = self.pick(["Lane", "Ln", "Street", "St", "Avenue", "Ave", "Close", "Row", "Crescent", "Road", "Rd.", "Blvd", "Boulevard", "Terrace", "Drive", "Gardens"])
         return self.pick([
             f"{n} {s} {kind}, {p} {code}", f"{n} {s} {kind}, {p}", f"{n} {s} {kind}\n{p}\n{code}", f"Flat {self.r.randrange(1, 40)}, {n} {s} {kind}, {p} {code}", f"Flat {self.r.randrange(1, 40)}, {n} {s} Terrace, {p} {code}",
-            f"Apt {d(2)}{self.pick('ABC')}, {d(4)} {s} Avenue, {p}", f"{n} bis rue des {s}, 00{n:03d} {p}", f"{n} rue des {s}, {d(5)} {p}", f"{s}{self.pick(['str.', 'weg', 'straße', 'gasse'])} {n}, {d(5)} {p}", f"Calle {s} {n}, {self.r.randrange(1, 9)}.º {self.pick('ABC')}, {p}",
+            f"Apt {d(2)}{self.pick('ABC')}, {d(4)} {s} Avenue, {p}", f"{n} bis rue des {s}, 00{n:03d} {p}", f"{n} rue des {s}, {d(5)} {p}", f"{s}{self.pick(['str.', 'weg', 'straße', 'gasse', 'allee', 'platz', 'ring'])} {n}, {d(5)} {p}", f"Calle {s} {n}, {self.r.randrange(1, 9)}.º {self.pick('ABC')}, {p}",
         ])
 
     def typeset(self, value: str) -> str:
@@ -248,6 +248,12 @@ who is behind {handle}
 ticket {number} reopened {date}
 why was invoice {number} rejected
 status of {ticket}
+move {code} to rack {n}, row {n}, hall B
+move {asset} to shelf {n}, bay {n}, room A
+{code} is in room {n}, floor {n}, building C
+{firm} renewal {month}
+{firm} {topic} {month}
+who pays {firm} for the {topic}
 serial {asset} warranty
 order no. {number} still open
 order no. {number} from {firm}
