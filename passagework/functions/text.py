@@ -33,7 +33,7 @@ def token_count(text: Column, ratio: Column | float = PROSE_RATIO) -> Column:
 def sentences(text: Column) -> Column:
     """Split after . ! ? and blanks; trimmed, no blank parts."""
     marked = F.regexp_replace(text, r"([.!?])[ \t\r\n]+", "$1\x01")
-    return F.filter(F.transform(F.split(marked, "\x01"), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(marked, "\x01"), lambda x: F.trim(x)), lambda s: s != "")
 
 
 def word_list(text: Column) -> Column:
@@ -93,7 +93,7 @@ def client_address(forwarded: Column, peer: Column, hops: int) -> Column:
     """The address `hops` from the right of a forwarding header; the peer where the header is shorter or unused."""
     if hops <= 0:
         return peer
-    chain = F.filter(F.transform(F.split(F.coalesce(forwarded, F.lit("")), ","), F.trim), lambda x: x != "")
+    chain = F.filter(F.transform(F.split(F.coalesce(forwarded, F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")
     return F.when(F.size(chain) >= hops, F.element_at(chain, -hops)).otherwise(peer)
 
 

@@ -19,7 +19,7 @@ def identities(users: DataFrame, groups: DataFrame) -> DataFrame:
 
 def resolve_groups(names: DataFrame, groups: DataFrame, key: str, column: str) -> DataFrame:
     """key, group_ids in the order given, unknown: names are trimmed, blanks and repeats dropped."""
-    clean = F.array_distinct(F.filter(F.transform(F.col(column), F.trim), lambda n: n != ""))
+    clean = F.array_distinct(F.filter(F.transform(F.col(column), lambda x: F.trim(x)), lambda n: n != ""))
     each = names.select(key, F.posexplode_outer(clean).alias("pos", "group_name")).join(groups.select("group_name", "group_id"), "group_name", "left")
     known = F.transform(F.array_sort(F.collect_list(F.when(F.col("group_id").isNotNull(), F.struct("pos", "group_id")))), lambda s: s["group_id"])
     unknown = F.array_sort(F.collect_list(F.when(F.col("group_id").isNull(), F.col("group_name"))))

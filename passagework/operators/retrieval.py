@@ -24,7 +24,8 @@ from passagework.functions.access import Request, scoped
 
 #: Candidates per retriever, after fusion and in the answer; the constant of rank fusion; weights of words.
 RETRIEVER_LIMIT, FUSED_LIMIT, FINAL_LIMIT, RRF_K = 50, 30, 6, 60
-SECTION_WEIGHT, CONTENT_WEIGHT = 1.0, 0.4
+#: In tenths, so that sums are exact.
+SECTION_WEIGHT, CONTENT_WEIGHT = 10, 4
 #: Requests answered in one pass over the chunks; bounds what is broadcast.
 REQUEST_BLOCK = 2048
 
@@ -85,8 +86,8 @@ def keyword_score(section: Column, content: Column, words: Column) -> Column:
     """Weights of the positions that match, over all positions, brought under one. section, content: lexemes."""
     hits = lambda c: F.size(F.filter(c, lambda w: F.array_contains(words, w)))
     raw = hits(section) * SECTION_WEIGHT + hits(content) * CONTENT_WEIGHT
-    r = raw / F.greatest(F.size(section) + F.size(content), F.lit(1))
-    return r / (r + 1)
+    positions = (F.size(section) + F.size(content)) * 10
+    return F.when(positions > 0, raw / (raw + positions)).otherwise(0.0)
 
 
 # --- one caller ---------------------------------------------------------------------------------------------------------
@@ -197,9 +198,9 @@ def _keyword_scores(asked: pd.DataFrame, pdf: pd.DataFrame) -> np.ndarray:
             by_word[w].append(r)
     rows = {w: np.array(v) for w, v in by_word.items()}
     stop = frozenset(tx.INDEX_STOP_WORDS)
-    out = np.zeros((len(asked), len(pdf)))
+    out, places = np.zeros((len(asked), len(pdf))), np.ones(len(pdf))
     for j, (section, content) in enumerate(zip(pdf["section_path"], pdf["content"])):
-        weights, n = defaultdict(float), 0
+        weights, n = defaultdict(int), 0
         for text, weight in ((section, SECTION_WEIGHT), (content, CONTENT_WEIGHT)):
             for w in _WORD.findall((text or "").lower()):
                 if w not in stop:
@@ -208,9 +209,8 @@ def _keyword_scores(asked: pd.DataFrame, pdf: pd.DataFrame) -> np.ndarray:
                         weights[w] += weight
         for w, x in weights.items():
             out[rows[w], j] += x
-        if n:
-            out[:, j] /= n
-    scores = _round6(out / (out + 1))
+        places[j] = max(1, n) * 10
+    scores = _round6(out / (out + places))
     scores[out == 0] = -np.inf
     return scores
 

@@ -146,13 +146,13 @@ req AS (
 def _kw(where: str = "true", limit: int = 50) -> str:
     return f"""
 pos AS (
-  SELECT chunk_id, access_group_ids, unnest({LEX("section_path")}) AS lexeme, 1.0 AS w FROM chunks WHERE {where}
-  UNION ALL SELECT chunk_id, access_group_ids, unnest({LEX("content")}), 0.4 FROM chunks WHERE {where}),
+  SELECT chunk_id, access_group_ids, unnest({LEX("section_path")}) AS lexeme, 10 AS w FROM chunks WHERE {where}
+  UNION ALL SELECT chunk_id, access_group_ids, unnest({LEX("content")}), 4 FROM chunks WHERE {where}),
 npos AS (SELECT chunk_id, count(*) AS n FROM pos GROUP BY 1),
 tf AS (SELECT chunk_id, lexeme, any_value(access_group_ids) AS access_group_ids, sum(w) AS w FROM pos GROUP BY 1, 2),
 qlex AS (SELECT DISTINCT request_id, group_ids, unnest({LEX("question")}) AS lexeme FROM req),
-kraw AS (SELECT request_id, t.chunk_id, sum(t.w) / any_value(n.n) AS r FROM qlex q JOIN tf t USING (lexeme) JOIN npos n ON n.chunk_id = t.chunk_id WHERE list_has_any(t.access_group_ids, q.group_ids) GROUP BY 1, 2),
-ksc AS (SELECT request_id, chunk_id, round(CAST(r / (r + 1) AS DOUBLE), 6) AS score FROM kraw),
+kraw AS (SELECT request_id, t.chunk_id, CAST(sum(t.w) AS DOUBLE) AS r, any_value(n.n) * 10 AS p FROM qlex q JOIN tf t USING (lexeme) JOIN npos n ON n.chunk_id = t.chunk_id WHERE list_has_any(t.access_group_ids, q.group_ids) GROUP BY 1, 2),
+ksc AS (SELECT request_id, chunk_id, round(r / (r + p), 6) AS score FROM kraw),
 kw AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, chunk_id) AS rank FROM ksc QUALIFY rank <= {limit})"""
 
 
@@ -179,8 +179,8 @@ def _boolean(cond: str, words: list[str]) -> str:
     return f"""
 WITH l AS (SELECT chunk_id, coalesce({LEX("section_path")}, []) AS s, coalesce({LEX("content")}, []) AS c FROM chunks WHERE list_has_any(access_group_ids, (SELECT list(group_id) FROM access_groups))),
 m AS (SELECT chunk_id, s, c, list_concat(s, c) AS a, ' ' || array_to_string(list_concat(s, c), ' ') || ' ' AS t FROM l),
-r AS (SELECT chunk_id, ({hits("s")} * 1.0 + {hits("c")} * CAST(0.4 AS DOUBLE)) / greatest(len(a), 1) AS r FROM m WHERE {cond}),
-x AS (SELECT chunk_id, round(r / (r + 1), 6) AS score FROM r)
+r AS (SELECT chunk_id, CAST({hits("s")} * 10 + {hits("c")} * 4 AS DOUBLE) AS r, len(a) * 10 AS p FROM m WHERE {cond}),
+x AS (SELECT chunk_id, round(r / (r + p), 6) AS score FROM r)
 SELECT chunk_id, score, CAST(row_number() OVER (ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM x QUALIFY rank <= 50"""
 
 
