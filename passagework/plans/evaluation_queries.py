@@ -125,6 +125,7 @@ met AS (SELECT c.request_id, k, CASE WHEN len(any_value(rel)) > 0 THEN count(h.r
   CASE WHEN len(any_value(rel)) > 0 THEN coalesce(sum(1 / log2(h.rank + 1)), 0) / list_sum(list_transform(range(1, least(k, len(any_value(rel))) + 1), lambda i: 1 / log2(i + 1))) ELSE 0 END AS ndcg
   FROM cas c CROSS JOIN ks LEFT JOIN hit h ON h.request_id = c.request_id AND h.rank <= k GROUP BY 1, 2),
 rrs AS (SELECT c.request_id, coalesce(1 / min(h.rank), 0) AS rr FROM cas c LEFT JOIN hit h USING (request_id) GROUP BY 1)"""
+_MEAN = lambda c: f"floor(CAST(sum(CAST(round(round({c}, 4) * 10000) AS BIGINT)) AS DOUBLE) / count(*) + 0.5) / 10000"
 _E = f"{ALL}, {_RANK}"
 _TOP3 = "top3 AS (SELECT f.request_id, string_agg(content, chr(10) ORDER BY position) AS text, list(source_uri) AS uris FROM fus f JOIN chunks c USING (chunk_id) LEFT JOIN documents d ON d.doc_id = c.doc_id WHERE position <= 3 GROUP BY 1)"
 _PLAIN = lambda c: f"lower(trim(regexp_replace({c}, '[\\s\\v]+', ' ', 'g')))"
@@ -134,7 +135,7 @@ SQL = {
     "eval_recall_precision_at_k": f"{_E} SELECT request_id, CAST(k AS INTEGER) AS k, round(recall, 4) AS recall, round(precision, 4) AS precision FROM met",
     "eval_ndcg": f"{_E} SELECT request_id, CAST(k AS INTEGER) AS k, round(ndcg, 4) AS ndcg FROM met",
     "eval_mrr": f"{_E} SELECT request_id, round(rr, 4) AS rr FROM rrs",
-    "eval_retrieval_summary": f"{_E} SELECT CAST(k AS INTEGER) AS k, round(avg(round(recall, 4)), 4) AS recall, round(avg(round(precision, 4)), 4) AS precision, round(avg(round(ndcg, 4)), 4) AS ndcg, round(avg(round(rr, 4)), 4) AS mrr, count(*) AS n_cases FROM met JOIN rrs USING (request_id) JOIN cas USING (request_id) WHERE len(expected_sources) > 0 GROUP BY 1",
+    "eval_retrieval_summary": f"{_E} SELECT CAST(k AS INTEGER) AS k, {_MEAN('recall')} AS recall, {_MEAN('precision')} AS precision, {_MEAN('ndcg')} AS ndcg, {_MEAN('rr')} AS mrr, count(*) AS n_cases FROM met JOIN rrs USING (request_id) JOIN cas USING (request_id) WHERE len(expected_sources) > 0 GROUP BY 1",
     "eval_security": f"{_E}, l AS (SELECT DISTINCT c.request_id FROM cas c JOIN ran r ON r.request_id = c.request_id AND list_contains(c.forbidden_sources, r.source_uri)) SELECT (SELECT count(*) FROM cas WHERE len(forbidden_sources) > 0) AS n_checked, count(*) AS n_leaks, count(*) = 0 AS passed FROM l",
     "eval_abstention": f"{_E}, b AS (SELECT c.request_id, c.category, c.must_abstain, coalesce(max(coalesce(vector_score, 0)), 0) < 0.6 AS declined FROM cas c LEFT JOIN fus f USING (request_id) GROUP BY 1, 2, 3) SELECT category, count(*) AS n, count(*) FILTER (declined) AS n_declined, count(*) FILTER (declined = must_abstain) AS n_right FROM b GROUP BY 1",
     "eval_category_counts": "SELECT c AS category, count(case_id) AS n FROM (SELECT unnest(['factoid', 'multi_hop', 'permission_negative', 'unanswerable']) AS c) LEFT JOIN eval_cases ON category = c GROUP BY 1",

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from passagework.plans import access_queries, evaluation_queries, ingest_queries, retrieval_queries, snapshot_queries, text_queries
+from passagework.plans import access_queries, answer_queries, evaluation_queries, ingest_queries, retrieval_queries, snapshot_queries, text_queries
 
-MODULES = [access_queries, evaluation_queries, ingest_queries, retrieval_queries, snapshot_queries, text_queries]
+MODULES = [access_queries, answer_queries, evaluation_queries, ingest_queries, retrieval_queries, snapshot_queries, text_queries]
 
 
 def queries() -> dict:

@@ -20,13 +20,17 @@ def callers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def requests(spark: SparkSession, d: str) -> DataFrame:
-    """request_id, question, group_ids, vector. A question has no vector in the tables: the n-th takes that of row n
-    modulo their number in `embeddings`."""
+    """request_id, question, group_ids, vector. A question has no vector in the tables: it takes that of the first usable
+    chunk of the documents it is about, and where there is none that of row n modulo their number in `embeddings`."""
     cases = table(spark, d, "eval_cases").select(F.col("case_id").alias("request_id"), "question", tx.normal_email(F.col("asked_by")).alias("email"), F.regexp_extract("case_id", r"(\d+)$", 1).cast("long").alias("n"))
     vectors = table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
     count = vectors.count()
     asked = cases.join(callers(spark, d), "email", "left")
-    return asked.withColumn("vec_id", F.col("n") % count).join(vectors, "vec_id", "left").select("request_id", "question", "group_ids", "vector")
+    about = table(spark, d, "eval_cases").select(F.col("case_id").alias("request_id"), F.explode("expected_sources").alias("source_uri")).join(table(spark, d, "documents").select("source_uri", "doc_id"), "source_uri")
+    usable = current(chunks(spark, d)).where((F.size("embedding") == 64) & usable_vector("embedding")).select("doc_id", "chunk_id", "embedding")
+    own = about.join(usable, "doc_id").groupBy("request_id").agg(F.min_by("embedding", "chunk_id").alias("own"))
+    full = asked.withColumn("vec_id", F.col("n") % count).join(vectors, "vec_id", "left").join(own, "request_id", "left")
+    return full.select("request_id", "question", "group_ids", F.coalesce("own", "vector").alias("vector"))
 
 
 def chunks(spark: SparkSession, d: str) -> DataFrame:
@@ -38,6 +42,12 @@ def current(df: DataFrame) -> DataFrame:
     return df.where(F.col("embedding_model") == MODEL)
 
 
+def usable_vector(column: str):
+    """Every component there and finite, not all of them zero."""
+    bad = lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == float("inf"))
+    return ~F.exists(column, bad) & F.exists(column, lambda e: e != 0)
+
+
 def keyword_rank_topk(spark, d):
     return rt.keyword_topk(chunks(spark, d), requests(spark, d)).select("request_id", "chunk_id", "rank", "score")
 
@@ -135,12 +145,17 @@ def keyword_match_or(spark, d):
 
 _STOP = "[" + ", ".join(f"'{w}'" for w in tx.INDEX_STOP_WORDS) + "]"
 LEX = lambda c: f"list_filter(regexp_extract_all(lower({c}), '[\\p{{L}}\\p{{N}}]+'), lambda w: NOT list_contains({_STOP}, w))"
+USABLE = lambda e: f"len(list_filter({e}, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter({e}, lambda x: x <> 0)) > 0"
 REQUESTS = f"""
 callers AS (SELECT lower(trim(email)) AS email, arg_min(group_ids, user_id) AS group_ids FROM users WHERE trim(email) <> '' GROUP BY 1),
+own AS (
+  SELECT case_id, arg_min(c.embedding, c.chunk_id) AS v FROM (SELECT case_id, unnest(expected_sources) AS u FROM eval_cases) x JOIN documents d ON d.source_uri = x.u JOIN chunks c ON c.doc_id = d.doc_id
+  WHERE c.embedding_model = '{MODEL}' AND len(c.embedding) = 64 AND {USABLE("c.embedding")} GROUP BY 1),
 req AS (
-  SELECT c.case_id AS request_id, c.question, u.group_ids, e.embedding AS vector
+  SELECT c.case_id AS request_id, c.question, u.group_ids, coalesce(o.v, e.embedding) AS vector
   FROM eval_cases c LEFT JOIN callers u ON u.email = lower(trim(c.asked_by))
-  LEFT JOIN embeddings e ON e.vec_id = CAST(regexp_extract(c.case_id, '(\\d+)$', 1) AS BIGINT) % (SELECT count(*) FROM embeddings))"""
+  LEFT JOIN embeddings e ON e.vec_id = CAST(regexp_extract(c.case_id, '(\\d+)$', 1) AS BIGINT) % (SELECT count(*) FROM embeddings)
+  LEFT JOIN own o ON o.case_id = c.case_id)"""
 
 
 def _kw(where: str = "true", limit: int = 50) -> str:
@@ -158,8 +173,8 @@ kw AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY score DESC,
 
 def _vec(where: str = "true", limit: int = 50, acl: str = "list_has_any(c.access_group_ids, q.group_ids)") -> str:
     return f"""
-vch AS (SELECT chunk_id, access_group_ids, CAST(embedding AS DOUBLE[]) AS e FROM chunks WHERE len(embedding) = 64 AND embedding_model = 'nw-embed-2' AND {where}),
-vsc AS (SELECT request_id, chunk_id, round(list_cosine_similarity(e, CAST(q.vector AS DOUBLE[])), 6) AS score FROM req q JOIN vch c ON {acl} WHERE q.vector IS NOT NULL AND list_inner_product(e, e) > 0),
+vch AS (SELECT chunk_id, access_group_ids, CAST(embedding AS DOUBLE[]) AS e FROM chunks WHERE len(embedding) = 64 AND embedding_model = 'nw-embed-2' AND {USABLE("embedding")} AND {where}),
+vsc AS (SELECT request_id, chunk_id, round(list_cosine_similarity(e, CAST(q.vector AS DOUBLE[])), 6) AS score FROM req q JOIN vch c ON {acl} WHERE q.vector IS NOT NULL),
 vec AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, chunk_id) AS rank FROM vsc QUALIFY rank <= {limit})"""
 
 

@@ -8,7 +8,15 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+def prepare(spark: SparkSession) -> SparkSession:
+    """Settings the operators rely on. A union that keeps its inputs' partitioning zips their partitions, which fails in
+    Spark 4.1 once adaptive execution has coalesced them differently."""
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+    return spark
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
