@@ -102,4 +102,12 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return spans.record_pairs(*spans.shared_spans(table(spark, d, "documents")))
 
 
-QUERIES = {"p1_found": p1_found, "p1_redacted": p1_redacted, "p2_found": p2_found, "p2_neighbours": p2_neighbours, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_packing": p6_packing, "p6_fill": p6_fill, "p7_found": p7_found, "p7_reparameterised": p7_reparameterised, "p8_found": p8_found}
+def p8_shared_share(spark: SparkSession, d: str) -> DataFrame:
+    return spans.shared_share(table(spark, d, "documents"))
+
+
+def p8_paragraph_repeats(spark: SparkSession, d: str) -> DataFrame:
+    return spans.near_duplicate_paragraphs(table(spark, d, "documents"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_redacted": p1_redacted, "p2_found": p2_found, "p2_neighbours": p2_neighbours, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_packing": p6_packing, "p6_fill": p6_fill, "p7_found": p7_found, "p7_reparameterised": p7_reparameterised, "p8_found": p8_found, "p8_shared_share": p8_shared_share, "p8_paragraph_repeats": p8_paragraph_repeats}

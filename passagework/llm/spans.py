@@ -19,9 +19,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from numpy.lib.stride_tricks import sliding_window_view
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from passagework.llm.components import components
+from passagework.llm.neardup import Similar, similar_classes, word_shingles
 from passagework.llm.words import char_windows, codes, signed
 from passagework.workspace import materialise
 
@@ -118,3 +120,57 @@ def record_pairs(links: DataFrame, members: DataFrame) -> DataFrame:
     copies = a.join(b, F.col("text_id_a") == F.col("text_id_b")).where("x < y").select("x", "y")
     both = across.unionByName(copies)
     return both.select(F.least("x", "y").alias("doc_id_a"), F.greatest("x", "y").alias("doc_id_b"))
+
+
+def _span_hashes(span: int, shingle: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for i, text, at in zip(pdf["text_id"], pdf["text"], pdf["marks"]):
+                h = char_windows(codes(text), span)
+                # the windows that hold one of the colliding shingles
+                near = (np.asarray(at)[:, None] - np.arange(span - shingle + 1)[None]).ravel()
+                p = np.unique(near[(near >= 0) & (near < len(h))])
+                yield pd.DataFrame({"text_id": np.full(len(p), i, np.int64), "p": p.astype(np.int32), "h": signed(h[p])})
+
+    return run
+
+
+def shared_share(documents: DataFrame, span: int = SPAN, shingle: int = SHINGLE) -> DataFrame:
+    """doc_id, n_chars, shared_chars for every record that shares a span: the characters inside some window of `span`
+    characters that another record has too. No pair of records is formed, however many share a window: windows near a
+    shared mark are counted by hash, and neighbours in order of position give the covered length."""
+    leaders = _leaders(documents, span)
+    copies = leaders.groupBy("text_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("text_id")
+    texts = documents.select("doc_id", "text").join(leaders.where("doc_id = text_id").select("doc_id", "text_id"), "doc_id").select("text_id", "text")
+    marks = materialise(texts.mapInPandas(_sketch(span, shingle), "text_id long, pos int, h long"), "share-marks")
+    shared = marks.groupBy("h").agg(F.min("text_id").alias("lo"), F.max("text_id").alias("hi")).where("lo < hi").select("h")
+    hits = materialise(marks.join(shared, "h").groupBy("text_id").agg(F.collect_set("pos").alias("marks")), "share-hits")
+    found = materialise(texts.join(hits, "text_id").mapInPandas(_span_hashes(span, shingle), "text_id long, p int, h long"), "share-windows")
+    twice = found.groupBy("h").agg(F.min("text_id").alias("lo"), F.max("text_id").alias("hi")).where("lo < hi").select("h")
+    own = found.join(twice, "h").select("text_id", "p").distinct()
+    ahead = F.lead("p").over(Window.partitionBy("text_id").orderBy("p")) - F.col("p")
+    part = own.withColumn("n", F.least(F.lit(span), F.coalesce(ahead, F.lit(span)))).groupBy("text_id").agg(F.sum("n").alias("part"))
+    full = leaders.join(copies.withColumn("copied", F.lit(True)), "text_id", "left").join(part, "text_id", "left")
+    covered = F.when(F.col("copied"), F.col("n_chars")).otherwise(F.col("part"))
+    return full.where("copied or part is not null").select("doc_id", F.col("n_chars").cast("long").alias("n_chars"), covered.cast("long").alias("shared_chars"))
+
+
+#: Word shingles of five and a similarity of 0.8; 1 - (1 - 0.8**5)**28 = 0.99998 of the pairs at the threshold collide.
+PARAGRAPHS = Similar(threshold=800, rows=5, lists=28)
+MAX_PARAGRAPHS = 1 << 22
+
+
+def near_duplicate_paragraphs(documents: DataFrame, how: Similar = PARAGRAPHS, least_words: int = 8) -> DataFrame:
+    """doc_id, n_paragraphs, n_repeats, repeated_chars: natural paragraphs (of eight words or more) that repeat one of
+    another place. Colliding paragraphs are verified by exact Jaccard and grouped by connected components; the paragraph
+    of the least document and position stays in each group, all others are repeats."""
+    parts = F.split(F.regexp_replace("text", "\r\n?", "\n"), r"\n[ \t]*\n")
+    each = documents.where("text is not null").select("doc_id", F.posexplode(parts).alias("no", "body"))
+    fits = F.assert_true(F.col("no") < MAX_PARAGRAPHS).isNull() & (F.size(F.split(F.trim("body"), r"\s+")) >= least_words)
+    paragraphs = materialise(each.where(fits).select((F.shiftleft("doc_id", 22) + F.col("no")).alias("id"), "body"), "paragraphs")
+    links, members = similar_classes(paragraphs, word_shingles(5, least_words), how)
+    groups = components(links).withColumnRenamed("id", "class_id")
+    grouped = members.join(groups, "class_id", "left").select("id", F.coalesce("component", "class_id").alias("group_id"))
+    repeats = grouped.where("id <> group_id").select("id", F.lit(1).alias("repeat"))
+    out = paragraphs.select("id", F.length("body").alias("n")).join(repeats, "id", "left")
+    return out.groupBy(F.shiftright("id", 22).alias("doc_id")).agg(F.count(F.lit(1)).alias("n_paragraphs"), F.count("repeat").alias("n_repeats"), F.coalesce(F.sum(F.when(F.col("repeat") == 1, F.col("n"))), F.lit(0)).alias("repeated_chars"))

@@ -12,6 +12,10 @@ def _tokens(text: str, ratio: str = "3.8") -> str:
 
 _WORDS = r"regexp_extract_all(lower(%s), '[\p{L}\p{N}]+')"
 _RUNS = "list_transform(range(1, len(w) - 11), lambda i: array_to_string(w[i:i+12], ' '))"
+_SPANS = """
+t AS (SELECT DISTINCT doc_id, text FROM documents WHERE length(text) >= 400),
+w AS (SELECT doc_id, i, md5(substr(text, CAST(i AS BIGINT), 400)) AS h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 398)) AS i FROM t)),
+s AS (SELECT h FROM w GROUP BY h HAVING min(doc_id) < max(doc_id))"""
 
 SQL = {
     "p4_found": f"""
@@ -34,10 +38,11 @@ d AS (SELECT doc_id, {_WORDS % "text"} AS w FROM documents),
 cw AS (SELECT DISTINCT case_id, unnest({_RUNS}) AS s FROM c WHERE len(w) >= 13),
 dw AS (SELECT DISTINCT doc_id, unnest({_RUNS}) AS s FROM d WHERE len(w) >= 13)
 SELECT DISTINCT case_id, doc_id FROM cw JOIN dw USING (s)""",
-    "p8_found": """
-WITH t AS (SELECT DISTINCT doc_id, text FROM documents WHERE length(text) >= 400),
-w AS (SELECT doc_id, md5(substr(text, CAST(i AS BIGINT), 400)) AS h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 398)) AS i FROM t)),
-s AS (SELECT h FROM w GROUP BY h HAVING min(doc_id) < max(doc_id)),
-m AS (SELECT DISTINCT doc_id, h FROM w JOIN s USING (h))
+    "p8_shared_share": f"""
+WITH {_SPANS}, p AS (SELECT DISTINCT doc_id, i FROM w JOIN s USING (h)),
+g AS (SELECT doc_id, least(400, coalesce(lead(i) OVER (PARTITION BY doc_id ORDER BY i) - i, 400)) AS n FROM p)
+SELECT doc_id, any_value(length(text)) AS n_chars, CAST(sum(n) AS BIGINT) AS shared_chars FROM g JOIN t USING (doc_id) GROUP BY 1""",
+    "p8_found": f"""
+WITH {_SPANS}, m AS (SELECT DISTINCT doc_id, h FROM w JOIN s USING (h))
 SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM m a JOIN m b ON a.h = b.h AND a.doc_id < b.doc_id""",
 }
