@@ -17,7 +17,7 @@ import base64
 from bisect import bisect_left, insort
 from collections import deque
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
@@ -156,13 +156,15 @@ def pack(documents: DataFrame, p: Packing = Packing()) -> DataFrame:
     placed = items.withColumn("order", F.xxhash64("doc_id", "piece_no", "copy_no")).withColumn("shard", F.pmod("order", F.lit(shards)).cast("int"))
     shares = target_shares(items, p)
     held = placed.groupBy("shard", "source").agg(F.sum("n_tokens").alias("tokens"))
-    # what every source was owed and given by the shards before: one row per shard and source, no item is read again
+    # what every source was owed by its part of the corpus and given by the shards before: one row per shard and source, no
+    # item is read again; a target share that the corpus cannot fill is not carried from shard to shard for ever
     earlier = lambda *keys: Window.partitionBy(*keys).orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     all_before = held.groupBy("shard").agg(F.sum("tokens").alias("t")).select("shard", F.coalesce(F.sum("t").over(earlier()), F.lit(0)).alias("all_before"))
     given = held.withColumn("given", F.coalesce(F.sum("tokens").over(earlier("source")), F.lit(0)))
     key = F.coalesce("source", F.lit(NULL_SOURCE)).alias("key")
-    owed = given.join(all_before, "shard").select("shard", key, "all_before", "given").join(shares.select(key, "share"), "key")
-    carry = owed.select(F.col("shard").alias("of_shard"), F.col("key").alias("source"), "share", (F.col("share") * F.col("all_before") - F.col("given")).alias("carry"))
+    natural = target_shares(items, replace(p, shares=None)).select(key, F.col("share").alias("natural"))
+    owed = given.join(all_before, "shard").select("shard", key, "all_before", "given").join(shares.select(key, "share"), "key").join(natural, "key")
+    carry = owed.select(F.col("shard").alias("of_shard"), F.col("key").alias("source"), "share", (F.col("natural") * F.col("all_before") - F.col("given")).alias("carry"))
     return placed.groupBy("shard").cogroup(carry.groupBy("of_shard")).applyInPandas(_pack(p), OUT)
 
 

@@ -127,6 +127,8 @@ def tag_texts(texts: DataFrame, weights: dict[str, np.ndarray] | None = None) ->
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tagger = Tagger(model.value)
         for pdf in batches:
+            if not len(pdf):
+                continue
             own = pdf["text"].tolist()
             found = tagger.spans(own)
             yield pd.DataFrame({"text": own, "redacted": [redact(t, s) for t, s in zip(own, found)], "mentions": [[{"entity_kind": KINDS[k], "start_pos": a + 1, "end_pos": b} for a, b, k in s] for s in found]})
