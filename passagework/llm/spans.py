@@ -28,6 +28,8 @@ from passagework.llm.words import char_windows, codes, signed
 from passagework.workspace import materialise
 
 SPAN, SHINGLE = 400, 300
+#: A mark in so many places is replaced by the whole windows around it, which only texts with a common span share.
+CROWDED = 256
 
 
 def minima(h: np.ndarray, width: int) -> np.ndarray:
@@ -93,8 +95,8 @@ def shared_spans(documents: DataFrame, span: int = SPAN, shingle: int = SHINGLE)
     texts = documents.select("doc_id", "text").join(leaders.where("doc_id = text_id").select("doc_id", "text_id"), "doc_id").select("text_id", "text")
     marks = materialise(texts.mapInPandas(_sketch(span, shingle), "text_id long, pos int, h long"), "span-marks")
     # a mark met in one text only links nothing: both ends of the range are combined before the shuffle
-    shared = marks.groupBy("h").agg(F.min("text_id").alias("lo"), F.max("text_id").alias("hi")).where("lo < hi").select("h")
-    hits = marks.join(shared, "h")
+    shared = marks.groupBy("h").agg(F.min("text_id").alias("lo"), F.max("text_id").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi").where(F.col("n") < CROWDED).select("h")
+    hits = marks.join(shared, "h").unionByName(_crowded_hits(texts, marks, span, shingle))
     a, b = hits.select("h", F.col("text_id").alias("a"), F.col("pos").alias("pa")), hits.select("h", F.col("text_id").alias("b"), F.col("pos").alias("pb"))
     pairs = a.join(b, "h").where("a < b").groupBy("a", "b").agg(F.collect_set(F.col("pa") - F.col("pb")).alias("offsets"))
     pairs = materialise(pairs, "span-pairs")
@@ -105,6 +107,18 @@ def shared_spans(documents: DataFrame, span: int = SPAN, shingle: int = SHINGLE)
     return checked.select(F.col("a").alias("text_id_a"), F.col("b").alias("text_id_b"), "length", "start_a", "start_b"), leaders
 
 
+def _crowded_hits(texts: DataFrame, marks: DataFrame, span: int, shingle: int) -> DataFrame:
+    """text_id, pos, h of every window of `span` characters around a crowded mark: a passage that is shorter than the span
+    brings no pairs together, however many texts have it, and none that share a span are lost."""
+    crowded = marks.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= CROWDED).select("h")
+    at = materialise(marks.join(crowded, "h").groupBy("text_id").agg(F.collect_set("pos").alias("marks")), "span-crowded")
+    if at.isEmpty():
+        return marks.limit(0)
+    found = materialise(texts.join(at, "text_id").mapInPandas(_span_hashes(span, shingle), "text_id long, p int, h long"), "span-crowded-windows")
+    twice = found.groupBy("h").agg(F.min("text_id").alias("lo"), F.max("text_id").alias("hi")).where("lo < hi").select("h")
+    return found.join(twice, "h").select("text_id", F.col("p").alias("pos"), "h")
+
+
 def _leaders(documents: DataFrame, span: int) -> DataFrame:
     """doc_id, text_id, n_chars: text_id is the least doc_id with an equal text. Only hashes are shuffled."""
     long = documents.where(F.length("text") >= span).select("doc_id", F.sha2("text", 256).alias("key"), F.length("text").alias("n_chars"))

@@ -112,6 +112,18 @@ def test_spans_against_brute_force(spark):
         assert a[r.start_a : r.start_a + r.length] == b[r.start_b : r.start_b + r.length]
 
 
+def test_crowded_passages_bring_no_pairs_and_lose_none(spark, monkeypatch):
+    monkeypatch.setattr(sp, "CROWDED", 5)
+    c = corpus(11)
+    r = random.Random(12)
+    footer = noise(r, 350)  # long enough for a mark, too short for a span
+    c = {i: t + noise(r, 30) + footer for i, t in c.items()}
+    w = {i: windows(t) for i, t in c.items()}
+    want = {(a, b) for a in c for b in c if a < b and w[a] & w[b]}
+    df = docs(spark, *c.items())
+    assert {(x.doc_id_a, x.doc_id_b) for x in sp.record_pairs(*sp.shared_spans(df)).collect()} == want
+
+
 def test_share_against_brute_force(spark):
     c = corpus(8)
     w = {i: windows(t) for i, t in c.items()}
