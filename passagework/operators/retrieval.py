@@ -221,6 +221,27 @@ def keyword_topk(chunks: DataFrame, requests: DataFrame, limit: int = RETRIEVER_
     return _answer(chunks.select("chunk_id", "access_group_ids", "section_path", "content"), asked, _keyword_scores, limit)
 
 
+def keyword_matches(chunks: DataFrame, requests: DataFrame) -> DataFrame:
+    """request_id, n_chunks: how many visible chunks match any word. Counted batch by batch; no pair leaves a task."""
+    asked = requests.select("request_id", "group_ids", tx.lexemes(F.col("question")).alias("lexemes"))
+    own, out = chunks.select("chunk_id", "access_group_ids", "section_path", "content"), None
+    for block in _blocks(asked):
+        shared = chunks.sparkSession.sparkContext.broadcast(block)
+
+        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            b = shared.value
+            for pdf in batches:
+                if len(pdf):
+                    hit = np.isfinite(_keyword_scores(b, pdf)) & _allowed(pdf["access_group_ids"], b["group_ids"].tolist())
+                    yield pd.DataFrame({"request_id": b["request_id"], "n": hit.sum(1).astype(np.int64)})
+
+        part = own.mapInPandas(run, "request_id string, n long")
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        return chunks.sparkSession.createDataFrame([], "request_id string, n_chunks long")
+    return out.groupBy("request_id").agg(F.sum("n").alias("n_chunks"))
+
+
 def _vector_scores(asked: pd.DataFrame, pdf: pd.DataFrame) -> np.ndarray:
     q = np.stack(asked["vector"].to_numpy()).astype(np.float64)
     x = np.stack(pdf["embedding"].to_numpy()).astype(np.float64)

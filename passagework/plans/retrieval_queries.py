@@ -132,13 +132,8 @@ def keyword_phrase(spark, d):
 
 
 def keyword_match_or(spark, d):
-    """How many chunks match any word of each question."""
-    groups = tuple(r[0] for r in table(spark, d, "access_groups").select("group_id").orderBy("group_id").collect())
-    words = requests(spark, d).select("request_id", F.explode(F.array_distinct(tx.lexemes(F.col("question")))).alias("lexeme"))
-    posted = chunks(spark, d).where(may_see(F.col("access_group_ids"), groups)).select("chunk_id", F.explode(F.array_distinct(tx.lexemes(F.concat_ws(" ", "section_path", "content")))).alias("lexeme"))
-    # words that no question has leave before any pair is made; the pairs are told apart by request and chunk
-    used = posted.join(words.select("lexeme").distinct(), "lexeme", "left_semi")
-    return used.join(words, "lexeme").groupBy("request_id").agg(F.countDistinct("chunk_id").alias("n_chunks"))
+    """How many of the chunks that the caller may see match any word of each question."""
+    return rt.keyword_matches(chunks(spark, d), requests(spark, d)).where("n_chunks > 0")
 
 
 # --- SQL ----------------------------------------------------------------------------------------------------------------
@@ -204,7 +199,7 @@ SQL = {
     "hybrid_search": f"{ALL} SELECT f.request_id, CAST(position AS INTEGER) AS position, f.chunk_id, c.doc_id, d.title AS document_title, d.source_uri, c.section_path, f.rrf_score FROM fus f JOIN chunks c USING (chunk_id) LEFT JOIN documents d ON d.doc_id = c.doc_id WHERE position <= 6",
     "hybrid_filtered": f"WITH {REQUESTS}, {_kw(_WITHIN)}, {_vec(_WITHIN)}, {_FUSED} SELECT request_id, chunk_id, CAST(position AS INTEGER) AS position, rrf_score FROM fus WHERE position <= 6",
     "keyword_rank_topk": f"WITH {REQUESTS}, {_kw()} SELECT request_id, chunk_id, CAST(rank AS INTEGER) AS rank, score FROM kw",
-    "keyword_match_or": f"WITH {REQUESTS}, l AS (SELECT DISTINCT chunk_id, unnest({LEX("concat_ws(' ', section_path, content)")}) AS lexeme FROM chunks WHERE list_has_any(access_group_ids, (SELECT list(group_id) FROM access_groups))), q AS (SELECT DISTINCT request_id, unnest({LEX('question')}) AS lexeme FROM req) SELECT request_id, count(DISTINCT chunk_id) AS n_chunks FROM q JOIN l USING (lexeme) GROUP BY 1",
+    "keyword_match_or": f"WITH {REQUESTS}, l AS (SELECT DISTINCT chunk_id, access_group_ids, unnest({LEX("concat_ws(' ', section_path, content)")}) AS lexeme FROM chunks), q AS (SELECT DISTINCT request_id, group_ids, unnest({LEX('question')}) AS lexeme FROM req) SELECT request_id, count(DISTINCT chunk_id) AS n_chunks FROM q JOIN l USING (lexeme) WHERE list_has_any(l.access_group_ids, q.group_ids) GROUP BY 1",
     "keyword_negation_and": _boolean("list_contains(a, 'purchase') AND list_contains(a, 'order') AND NOT list_contains(a, 'invoice')", ["purchase", "order"]),
     "keyword_phrase": _boolean("contains(t, ' latency budget ') AND NOT list_contains(a, 'quarterly')", ["latency", "budget"]),
     "vector_topk_exact": f"WITH {REQUESTS}, {_vec(limit=10, acl='true')} SELECT request_id, chunk_id, CAST(rank AS INTEGER) AS rank, score FROM vec",
