@@ -8,7 +8,7 @@ share a list with probability 1 - (1 - s**rows)**lists, 0.9998 at the thresholds
 the lists and then the union of two sketches, which estimates the similarity, filter; exact Jaccard of the full sets
 verifies.
 
-Defined results: null texts and texts under the least size are in no pair; records with equal shingle sets are one
+Defined results: null texts, texts under the least size and rows without an id are in no pair; records with equal shingle sets are one
 class, compared once; empty tables give empty results; a repeated id counts once; other columns are ignored.
 """
 
@@ -111,7 +111,7 @@ def _features(make: Callable[[], Callable[[str], np.ndarray]], how: Similar):
 def similar_classes(records: DataFrame, shingles, how: Similar) -> tuple[DataFrame, DataFrame]:
     """records: id, body. Returns links and members. links: a < b, similarity: the pairs of classes at or over the
     threshold. members: id, class_id: records with equal shingle sets, class_id the least of their ids."""
-    made = materialise(records.where("body is not null").select("id", "body").mapInPandas(_features(shingles, how), FEATURES), "near-features")
+    made = materialise(records.where("body is not null and id is not null").select("id", "body").mapInPandas(_features(shingles, how), FEATURES), "near-features")
     least = made.groupBy("set_key").agg(F.min("id").alias("class_id"))
     members = materialise(made.select("id", "set_key").distinct().join(least, "set_key").select("id", "class_id"), "near-members")
     # written, these small sides have a known size, and the planner need not shuffle the features to meet them

@@ -7,7 +7,7 @@ carries. What a window takes is placed best fit, longest first, into sequences t
 deficit with which a shard begins is what all shards before it left, known from their totals alone.
 
 Defined results: null and empty texts are items of no token, placed like any other, so that every document is
-assigned; a null source is a source; repeated rows are items of their own, told apart by `copy_no`; an empty table gives
+assigned; a null source is a source and a null id an id; repeated rows are items of their own, told apart by `copy_no`; an empty table gives
 no rows; a zero or missing target share is served when the other queues are empty; other columns are ignored.
 """
 

@@ -8,7 +8,7 @@ positions. Texts that collide are verified character by character along the coll
 
 near_duplicate_paragraphs() runs the same steps over natural paragraphs with word shingles and several bands.
 
-Defined results: null texts and texts shorter than the span share nothing; equal texts are compared once and expanded
+Defined results: null texts, texts shorter than the span and rows without an id share nothing; equal texts are compared once and expanded
 at the end; characters are code points; a repeated id counts once per text; other columns are ignored.
 """
 
@@ -121,7 +121,7 @@ def _crowded_hits(texts: DataFrame, marks: DataFrame, span: int, shingle: int) -
 
 def _leaders(documents: DataFrame, span: int) -> DataFrame:
     """doc_id, text_id, n_chars: text_id is the least doc_id with an equal text. Only hashes are shuffled."""
-    long = documents.where(F.length("text") >= span).select("doc_id", F.sha2("text", 256).alias("key"), F.length("text").alias("n_chars"))
+    long = documents.where((F.length("text") >= span) & F.col("doc_id").isNotNull()).select("doc_id", F.sha2("text", 256).alias("key"), F.length("text").alias("n_chars"))
     least = long.groupBy("key").agg(F.min("doc_id").alias("text_id"))
     return materialise(long.distinct().join(least, "key").select("doc_id", "text_id", "n_chars"), "span-leaders")
 
@@ -179,7 +179,7 @@ def near_duplicate_paragraphs(documents: DataFrame, how: Similar = PARAGRAPHS, l
     another place. Colliding paragraphs are verified by exact Jaccard and grouped by connected components; the paragraph
     of the least document and position stays in each group, all others are repeats."""
     parts = F.split(F.regexp_replace("text", "\r\n?", "\n"), r"\n[ \t]*\n")
-    each = documents.where("text is not null").select("doc_id", F.posexplode(parts).alias("no", "body"))
+    each = documents.where("text is not null and doc_id is not null").select("doc_id", F.posexplode(parts).alias("no", "body"))
     fits = F.assert_true(F.col("no") < MAX_PARAGRAPHS).isNull() & (F.size(F.split(F.trim("body"), r"\s+")) >= least_words)
     paragraphs = materialise(each.where(fits).select((F.shiftleft("doc_id", 22) + F.col("no")).alias("id"), "body"), "paragraphs")
     links, members = similar_classes(paragraphs, word_shingles(5, least_words), how)

@@ -4,7 +4,7 @@ Sizes are measured on the JVM side; only items over the limit reach Python, wher
 positions picks the cuts: it minimises the sum of cut penalties and squared deviations from the even size, under the
 limit for heading trail, overlap and body together.
 
-Defined results: null or blank texts and items at or under the limit give no piece; a null trail is no trail; equal
+Defined results: null ids stay null; null or blank texts and items at or under the limit give no piece; a null trail is no trail; equal
 costs are settled by the earlier cut; a repeated item is cut again; text without boundaries is cut on a fixed
 grid; a trail that leaves less than `min_body` tokens keeps its innermost part (`trail_cut`); other columns are ignored.
 """
@@ -132,7 +132,7 @@ def split_items(items: DataFrame, limits: Limits = Limits()) -> DataFrame:
                 for k, (s, b, e) in enumerate(cut(r.body, int((left - 0.5) * ratio), int(limits.overlap * ratio))):
                     piece = r.body[s:e]
                     rows.append((r.record_kind, r.doc_id, r.item_no, k, s + 1, b + 1, e, tokens(piece, ratio) + tokens(trail), shortened, trail, piece))
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in PIECES.split(", ")]).astype({"trail_cut": bool})
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in PIECES.split(", ")]).astype({"doc_id": "Int64", "item_no": "Int32", "trail_cut": bool})
 
     # few and long rows: spread them over all cores whichever file they came from
     return over.repartition(F.col("doc_id"), F.col("item_no")).mapInPandas(run, PIECES)

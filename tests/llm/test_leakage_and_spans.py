@@ -62,7 +62,7 @@ def test_reparameterised(spark):
 
 def test_leakage_dirt(spark):
     c = cases(spark, ("a", None, None), ("b", "", "short"), ("c", Q, Q), ("c", Q, Q))
-    d = docs(spark, (1, None), (2, ""), (3, Q), (3, Q), (4, "pad " * 30_000 + Q))
+    d = docs(spark, (1, None), (2, ""), (3, Q), (3, Q), (4, "pad " * 30_000 + Q), (None, "nothing"))
     assert {(x.case_id, x.doc_id) for x in lk.verbatim_leaks(d, c).collect()} == {("c", 3), ("c", 4)}
     assert lk.verbatim_leaks(d.limit(0), c).count() == 0 and lk.verbatim_leaks(d, c.limit(0)).count() == 0
 
@@ -141,7 +141,7 @@ def test_share_against_brute_force(spark):
 
 def test_span_dirt(spark):
     long = noise(random.Random(1), 150_000)
-    df = docs(spark, (1, None), (2, ""), (3, "x" * 1000), (4, "x" * 1200), (5, long), (6, long[70_000:]), (6, long[70_000:]), (7, "😀" * 400), (8, "😀" * 401))
+    df = docs(spark, (1, None), (2, ""), (3, "x" * 1000), (4, "x" * 1200), (5, long), (6, long[70_000:]), (6, long[70_000:]), (7, "😀" * 400), (8, "😀" * 401), (None, "😀" * 401))
     got = {(r.doc_id_a, r.doc_id_b) for r in sp.record_pairs(*sp.shared_spans(df)).collect()}
     assert got == {(3, 4), (5, 6), (7, 8)}
     assert sp.record_pairs(*sp.shared_spans(df.limit(0))).count() == 0 and sp.shared_share(df.limit(0)).count() == 0
@@ -152,6 +152,6 @@ def test_paragraph_repeats(spark):
     p = [text(r, 40, 5000) for _ in range(6)]
     near = p[0].split()
     near[-1] = "changed"
-    df = docs(spark, (1, f"{p[0]}\n\n{p[1]}\n\n# head"), (2, f"{' '.join(near)}\n \n{p[2]}"), (3, f"{p[1]}\r\n\r\n{p[1]}"), (4, None), (5, ""))
+    df = docs(spark, (1, f"{p[0]}\n\n{p[1]}\n\n# head"), (2, f"{' '.join(near)}\n \n{p[2]}"), (3, f"{p[1]}\r\n\r\n{p[1]}"), (4, None), (5, ""), (None, p[2]))
     got = {x.doc_id: (x.n_paragraphs, x.n_repeats) for x in sp.near_duplicate_paragraphs(df).collect()}
     assert got == {1: (2, 0), 2: (2, 1), 3: (2, 2)}

@@ -73,7 +73,7 @@ def test_dirt(spark):
 
 def test_repeated_ids_count_once(spark):
     t = " ".join(f"a{i}" for i in range(30))
-    df = spark.createDataFrame([(1, t), (1, t), (2, t)], "id long, body string")
+    df = spark.createDataFrame([(1, t), (1, t), (2, t), (None, t)], "id long, body string")
     assert [(r.id_a, r.id_b) for r in nd.record_pairs(*nd.similar_classes(df, nd.word_shingles(3, 20), HOW)).collect()] == [(1, 2)]
 
 

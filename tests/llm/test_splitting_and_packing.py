@@ -51,9 +51,9 @@ def items(spark, rows):
 
 def test_only_oversized_items_are_cut_and_every_piece_fits(spark):
     long = "Some words in a sentence here. " * 200
-    rows = [("chunk", 1, 0, long, "A > B", False), ("chunk", 1, 1, "short", "A", False), ("chunk", 2, 0, None, "A", False), ("chunk", 3, 0, "  ", "t" * 9000, False), ("block", 4, 0, "x = 1\n" * 800, None, True), ("block", 5, 0, "body words " * 30, " > ".join(["deep heading"] * 400), None)]
+    rows = [("chunk", 1, 0, long, "A > B", False), ("chunk", 1, 1, "short", "A", False), ("chunk", 2, 0, None, "A", False), ("chunk", 3, 0, "  ", "t" * 9000, False), ("block", 4, 0, "x = 1\n" * 800, None, True), ("block", 5, 0, "body words " * 30, " > ".join(["deep heading"] * 400), None), ("chunk", None, None, long, None, None)]
     got = sp.split_items(items(spark, rows)).collect()
-    assert {(r.record_kind, r.doc_id) for r in got} == {("chunk", 1), ("block", 4), ("block", 5)}
+    assert {(r.record_kind, r.doc_id) for r in got} == {("chunk", 1), ("block", 4), ("block", 5), ("chunk", None)}
     assert all(r.n_tokens <= 700 for r in got)
     assert {r.trail for r in got if r.doc_id == 1} == {"A > B"} and all(r.trail_cut == (r.doc_id == 5) for r in got)
     first = sorted((r for r in got if r.doc_id == 1), key=lambda r: r.piece_no)
@@ -73,7 +73,7 @@ def test_sizes_agree(spark, text):
 def documents(spark, n=400, seed=1):
     r = random.Random(seed)
     rows = [(i, r.choice(["a", "a", "a", "b", "c", None]), " ".join(f"w{r.randrange(99)}" for _ in range(r.choice([3, 60, 200, 500, 3000]))), "x") for i in range(n)]
-    rows += [(900, "b", "", "x"), (901, "b", None, "x"), (1, "a", "again", "x"), (1, "a", "again", "x")]
+    rows += [(900, "b", "", "x"), (901, "b", None, "x"), (1, "a", "again", "x"), (1, "a", "again", "x"), (None, "a", "no id", "x")]
     return spark.createDataFrame(rows, "doc_id long, source string, text string, shard string"), rows
 
 
@@ -81,9 +81,9 @@ def test_packing_is_whole_and_fits(spark):
     df, rows = documents(spark)
     got = pk.pack(df, pk.Packing(shard_tokens=150_000)).toPandas()
     tok = pk.load_tokenizer(pk.TOKENIZER)
-    want = sorted((i, len(tok.encode_ordinary(t)) if t else 0) for i, _, t, _ in rows)
-    per = got[["doc_id", "source", "n_tokens"]].copy()
-    assert per.n_tokens.sum() == sum(n for _, n in want) and set(got.doc_id) == {i for i, _ in want}
+    want = sorted((-1 if i is None else i, len(tok.encode_ordinary(t)) if t else 0) for i, _, t, _ in rows)
+    got["doc_id"] = got.doc_id.fillna(-1)
+    assert got.n_tokens.sum() == sum(n for _, n in want) and set(got.doc_id) == {i for i, _ in want}
     assert len(got[got.doc_id == 1].copy_no.unique()) == 3
     used = got.groupby(["shard", "sequence_no"]).n_tokens.sum()
     assert used.max() <= 2048 and got.shard.nunique() > 1
