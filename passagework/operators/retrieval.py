@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from passagework.functions import text as tx
 from passagework.functions import vectors as vx
 from passagework.functions.access import Request, scoped
+from passagework.workspace import spread
 
 #: Candidates per retriever, after fusion and in the answer; the constant of rank fusion; weights of words.
 RETRIEVER_LIMIT, FUSED_LIMIT, FINAL_LIMIT, RRF_K = 50, 30, 6, 60
@@ -164,7 +165,7 @@ def _allowed(acl: pd.Series, groups: list) -> np.ndarray:
 
 
 def _answer(chunks: DataFrame, requests: DataFrame, score: Callable[[pd.DataFrame, pd.DataFrame], np.ndarray], limit: int) -> DataFrame:
-    spark, out = chunks.sparkSession, None
+    spark, out, chunks = chunks.sparkSession, None, spread(chunks)
     for block in _blocks(requests):
         shared = spark.sparkContext.broadcast(block)
 
@@ -198,7 +199,7 @@ def _keyword_scores(asked: pd.DataFrame, pdf: pd.DataFrame) -> np.ndarray:
             by_word[w].append(r)
     rows = {w: np.array(v) for w, v in by_word.items()}
     stop = frozenset(tx.INDEX_STOP_WORDS)
-    out, places = np.zeros((len(asked), len(pdf))), np.ones(len(pdf))
+    out, places = np.zeros((len(pdf), len(asked))), np.ones((len(pdf), 1))  # a chunk's row is written in one place
     for j, (section, content) in enumerate(zip(pdf["section_path"], pdf["content"])):
         weights, n = defaultdict(int), 0
         for text, weight in ((section, SECTION_WEIGHT), (content, CONTENT_WEIGHT)):
@@ -208,11 +209,11 @@ def _keyword_scores(asked: pd.DataFrame, pdf: pd.DataFrame) -> np.ndarray:
                     if w in rows:
                         weights[w] += weight
         for w, x in weights.items():
-            out[rows[w], j] += x
+            out[j, rows[w]] += x
         places[j] = max(1, n) * 10
     scores = _round6(out / (out + places))
     scores[out == 0] = -np.inf
-    return scores
+    return np.ascontiguousarray(scores.T)
 
 
 def keyword_topk(chunks: DataFrame, requests: DataFrame, limit: int = RETRIEVER_LIMIT) -> DataFrame:
@@ -224,7 +225,7 @@ def keyword_topk(chunks: DataFrame, requests: DataFrame, limit: int = RETRIEVER_
 def keyword_matches(chunks: DataFrame, requests: DataFrame) -> DataFrame:
     """request_id, n_chunks: how many visible chunks match any word. Counted batch by batch; no pair leaves a task."""
     asked = requests.select("request_id", "group_ids", tx.lexemes(F.col("question")).alias("lexemes"))
-    own, out = chunks.select("chunk_id", "access_group_ids", "section_path", "content"), None
+    own, out = spread(chunks.select("chunk_id", "access_group_ids", "section_path", "content")), None
     for block in _blocks(asked):
         shared = chunks.sparkSession.sparkContext.broadcast(block)
 

@@ -36,6 +36,17 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def parallelism(spark: SparkSession) -> int:
+    """Partitions for work that costs much per row: adaptive execution would size them by bytes alone."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
+def spread(df: DataFrame, below: int = 256 << 20) -> DataFrame:
+    """A small input over all cores, whatever its files and row groups are; a large one as it is read, without a shuffle."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return df.repartition(parallelism(df.sparkSession)) if size < below else df
+
+
 def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/passagework/{label}-{uuid.uuid4().hex}"
 
