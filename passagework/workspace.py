@@ -43,7 +43,7 @@ def parallelism(spark: SparkSession) -> int:
 
 def spread(df: DataFrame, below: int = 256 << 20) -> DataFrame:
     """A small input over all cores, whatever its files and row groups are; a large one as it is read, without a shuffle."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(parallelism(df.sparkSession)) if size < below else df
 
 
