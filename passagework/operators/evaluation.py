@@ -98,3 +98,30 @@ def report_text(summary: list[dict]) -> str:
     cols = list(summary[0])
     lines = ["  ".join(f"{c:>10}" for c in cols)] + ["  ".join(f"{r[c]:>10.4f}" if isinstance(r[c], float) else f"{r[c]!s:>10}" for c in cols) for r in summary]
     return "\n".join(lines) + "\n"
+
+
+def save_report(summary: list[dict], folder: str, label: str) -> str:
+    """The summary as JSON beside earlier ones; returns the path."""
+    import json
+    from pathlib import Path
+
+    path = Path(folder) / f"{label}.json"
+    path.parent.mkdir(parents=True, exist_ok=True)
+    path.write_text(json.dumps([json_safe(r) for r in summary], indent=1), encoding="utf-8")
+    return str(path)
+
+
+def json_safe(value):
+    """Dates as ISO text, sets and tuples as lists, paths as text, whatever the nesting."""
+    import datetime as dt
+    from decimal import Decimal
+    from pathlib import PurePath
+
+    if isinstance(value, dict):
+        return {str(k): json_safe(v) for k, v in value.items()}
+    if isinstance(value, (list, tuple, set, frozenset)):
+        items = [json_safe(v) for v in value]
+        return sorted(items, key=str) if isinstance(value, (set, frozenset)) else items
+    if isinstance(value, (dt.date, dt.datetime)):
+        return value.isoformat()
+    return float(value) if isinstance(value, Decimal) else str(value) if isinstance(value, PurePath) else value

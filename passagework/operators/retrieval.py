@@ -306,3 +306,27 @@ def candidates(chunks: DataFrame, documents: DataFrame, hits: DataFrame) -> Data
     cols = ["chunk_id", "doc_id", "chunk_index", "section_path", "content", "department", "doc_type", "classification", "source_updated_at"]
     docs = documents.select("doc_id", F.col("title").alias("document_title"), "source", "source_uri")
     return hits.join(chunks.select(*cols), "chunk_id").join(docs, "doc_id", "left")
+
+
+def rerank_with_model(fused: DataFrame, make: Callable[[], Callable[[list[tuple[str, str]]], list[float]]], top_n: int) -> DataFrame:
+    """fused: request_id, chunk_id, position, question, passage. Orders by a model's scores; where the model fails for any
+    candidate of a request, that request keeps its fused order (rerank_score null)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        try:
+            model = make()
+        except Exception:  # noqa: BLE001 - a model that cannot be loaded must not stop search
+            model = None
+        for pdf in batches:
+            try:
+                scores = model(list(zip(pdf["question"], pdf["passage"]))) if model else [None] * len(pdf)
+            except Exception:  # noqa: BLE001
+                scores = [None] * len(pdf)
+            yield pdf[["request_id", "chunk_id", "position"]].assign(rerank_score=pd.Series(scores, dtype="float64", index=pdf.index))
+
+    own = fused.select("request_id", "chunk_id", F.col("position").cast("int").alias("position"), "question", "passage")
+    scored = own.mapInPandas(run, "request_id string, chunk_id long, position int, rerank_score double")
+    failed = F.max(F.col("rerank_score").isNull()).over(Window.partitionBy("request_id"))
+    scored = scored.withColumn("rerank_score", F.when(~failed, F.col("rerank_score")))
+    w = Window.partitionBy("request_id").orderBy(F.col("rerank_score").desc_nulls_last(), F.when(F.col("rerank_score").isNull(), F.col("position")), "chunk_id")
+    return scored.withColumn("position", F.row_number().over(w)).where(F.col("position") <= top_n)

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from passagework.functions import stem
 from passagework.operators import answers as an
+from passagework.operators import embedding as em
 from passagework.operators import retrieval as rt
-from passagework.plans.retrieval_queries import _fused, chunks, requests
+from passagework.plans.retrieval_queries import USABLE, _fused, chunks, requests
 from passagework.workspace import table
 
 
@@ -32,5 +33,10 @@ def keyword_stemmed_topk(spark, d):
     return rt.keyword_topk(c, r).select("request_id", "chunk_id", "rank", "score")
 
 
-QUERIES = {f.__name__: f for f in (answer_flow, answer_status_counts, keyword_stemmed_topk)}
-SQL = {}
+def stale_embeddings(spark, d):
+    """Chunks that have no usable vector of the model in use."""
+    return em.stale(chunks(spark, d), "nw-embed-2", 64).groupBy("embedding_model").agg(F.count(F.lit(1)).alias("n"))
+
+
+QUERIES = {f.__name__: f for f in (answer_flow, answer_status_counts, keyword_stemmed_topk, stale_embeddings)}
+SQL = {"stale_embeddings": f"SELECT embedding_model, count(*) AS n FROM chunks WHERE NOT coalesce(embedding_model = 'nw-embed-2' AND len(embedding) = 64 AND {USABLE('embedding')}, false) GROUP BY 1"}
