@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from passagework.llm.pii_model import KINDS, allowed_transitions, emissions, encode, spans_of, viterbi
+from passagework.workspace import parallelism
 
 WEIGHTS = Path(__file__).with_name("pii_weights.npz")
 WINDOW, STRIDE = 160, 96
@@ -140,7 +141,9 @@ def tag_texts(texts: DataFrame, weights: dict[str, np.ndarray] | None = None) ->
             found = tagger.spans(own)
             yield pd.DataFrame({"text": own, "redacted": [redact(t, s) for t, s in zip(own, found)], "mentions": [[{"entity_kind": KINDS[k], "start_pos": a + 1, "end_pos": b} for a, b, k in s] for s in found]})
 
-    return texts.where("text is not null").select("text").distinct().mapInPandas(run, MENTIONS)
+    # little data, much work: told apart by text first, then over all cores
+    once = texts.where("text is not null").select("text").distinct()
+    return once.repartition(parallelism(spark), F.xxhash64("text")).mapInPandas(run, MENTIONS)
 
 
 def mentions(records: DataFrame, weights: dict[str, np.ndarray] | None = None) -> DataFrame:

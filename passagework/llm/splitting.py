@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from passagework.workspace import parallelism
+
 SPACE = r"[\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 PROSE, CODE = 3.8, 2.9
 
@@ -135,4 +137,4 @@ def split_items(items: DataFrame, limits: Limits = Limits()) -> DataFrame:
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in PIECES.split(", ")]).astype({"doc_id": "Int64", "item_no": "Int32", "trail_cut": bool})
 
     # few and long rows: spread them over all cores whichever file they came from
-    return over.repartition(F.col("doc_id"), F.col("item_no")).mapInPandas(run, PIECES)
+    return over.repartition(parallelism(items.sparkSession), "doc_id", "item_no").mapInPandas(run, PIECES)
