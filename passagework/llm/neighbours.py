@@ -87,7 +87,7 @@ class CentroidGraph:
         for s in range(0, k, 2048):
             sim = centroids[s : s + 2048] @ centroids.T
             self.near[s : s + 2048] = np.argpartition(-sim, degree - 1, axis=1)[:, :degree]
-        self.entries = np.random.default_rng(seed).choice(k, min(k, max(32, math.isqrt(k) * 2)), replace=False)
+        self.entries = np.random.default_rng(seed).choice(k, min(k, max(64, math.isqrt(k) * 5)), replace=False)
 
     def search(self, q: np.ndarray, width: int, batch: int = 512) -> tuple[np.ndarray, np.ndarray]:
         """Ids and similarities of about the `width` nearest centroids, nearest first."""
@@ -95,7 +95,7 @@ class CentroidGraph:
         return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
 
     def _search(self, q: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-        b, beam = len(q), min(len(self.c), max(width, 24))
+        b, beam = len(q), min(len(self.c), max(width, 32))
         rows = np.arange(b)[:, None]
         sim = q @ self.c[self.entries].T
         first = min(beam, len(self.entries))
