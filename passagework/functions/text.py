@@ -10,7 +10,7 @@ PROSE_RATIO, CODE_RATIO = 3.8, 2.9
 #: Blanks of every script, written out because \s differs between engines.
 SPACE = r"[\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 #: Words that carry no support for a claim.
-CLAIM_STOP_WORDS = "the and for are was were with that this from have has had not but its his her their they them you your our can will would should must may all any each other than then there which who whom when where what how into onto over under only also such been being".split()
+CLAIM_STOP_WORDS = "a an and are as at be by for from has have in is it its of on or that the to was were will with which this these those they their our we you your not but if then than can may must should would could into over under".split()
 #: Words that are not indexed.
 INDEX_STOP_WORDS = "a about after all an and any are as at be been before but by can could did do does for from had has have how i if in into is it its me my no not of on once or our out over so than that the their them then there these they this to under until up was we were what when where which while who why will with you your".split()
 
