@@ -49,7 +49,7 @@ def test_held_out_accuracy():
 def test_mentions_and_lookalikes(tagger):
     assert found(tagger, "pls ring me: 746-555-0178 (Ilvane Grasridge)") == [("746-555-0178", "phone"), ("Ilvane Grasridge", "person_name")]
     assert found(tagger, "why was Ms Zoëlle Veldulin rejected for Brackenfield") == [("Zoëlle Veldulin", "person_name")]
-    assert found(tagger, "forward to flornmere [at] harrowpost [dot] test and jorrell.ingleridge@northwick.example") == [("flornmere [at] harrowpost [dot] test", "email"), ("jorrell.ingleridge@northwick.example", "email")]
+    assert found(tagger, "forward to flornmere [at] harrowpost [dot] test and jorrell.ingleridge@harrowmail.example") == [("flornmere [at] harrowpost [dot] test", "email"), ("jorrell.ingleridge@harrowmail.example", "email")]
     for text in ("why was invoice 816-82-9847 rejected", "who is behind deploy@build-4", "block traffic from 192.0.2.93 on the currency table", "asset QA584009 lost in Windle Cross", "contract with Lornwick & Sons"):
         assert found(tagger, text) == []
 
