@@ -6,14 +6,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def sync_plan(existing: DataFrame, listing: DataFrame, force: bool = False, prune: bool = True) -> DataFrame:
+def sync_plan(existing: DataFrame, listing: DataFrame, force: bool = False, prune: bool = True, step: tuple[str, ...] = ()) -> DataFrame:
     """existing: source, source_uri, doc_id, revision, content_hash, version (live rows). listing: source, source_uri,
     revision, content_hash, failed. One row per document: status ingested, updated, unchanged, removed or failed, and
-    the new version. Only sources that are listed are pruned, and a failed document counts as seen."""
-    old = existing.select("source", "source_uri", "doc_id", F.col("revision").alias("old_revision"), F.col("content_hash").alias("old_hash"), F.col("version").alias("old_version"), F.lit(True).alias("known"))
-    new = listing.select("source", "source_uri", "revision", "content_hash", "failed", F.lit(True).alias("listed"))
-    delivered = listing.select("source").distinct().withColumn("delivered", F.lit(True))
-    both = old.join(new, ["source", "source_uri"], "full_outer").join(delivered, "source", "left")
+    the new version. Only sources that are listed are pruned, and a failed document counts as seen. `step` names columns
+    of both that tell several plans apart."""
+    source, key = [*step, "source"], [*step, "source", "source_uri"]
+    old = existing.select(*key, "doc_id", F.col("revision").alias("old_revision"), F.col("content_hash").alias("old_hash"), F.col("version").alias("old_version"), F.lit(True).alias("known"))
+    new = listing.select(*key, "revision", "content_hash", "failed", F.lit(True).alias("listed"))
+    delivered = listing.select(*source).distinct().withColumn("delivered", F.lit(True))
+    both = old.join(new, key, "full_outer").join(delivered, source, "left")
     same_revision = F.col("revision").isNotNull() & (F.col("revision") == F.col("old_revision"))
     same = F.lit(not force) & (same_revision | (F.col("content_hash") == F.col("old_hash")))
     status = (
@@ -25,7 +27,7 @@ def sync_plan(existing: DataFrame, listing: DataFrame, force: bool = False, prun
     )
     version = F.when(F.col("status") == "ingested", 1).when(F.col("status") == "updated", F.col("old_version") + 1).otherwise(F.col("old_version"))
     planned = both.withColumn("status", status).where("status is not null")
-    return planned.select("source", "source_uri", "doc_id", "status", version.cast("int").alias("version"), F.coalesce("revision", "old_revision").alias("revision"))
+    return planned.select(*key, "doc_id", "status", version.cast("int").alias("version"), F.coalesce("revision", "old_revision").alias("revision"))
 
 
 def to_read(plan: DataFrame) -> DataFrame:

@@ -69,17 +69,39 @@ def modal_size(spark, d):
     return per.groupBy("doc_id").agg(F.max_by("size", F.struct("chars", -F.col("seen"))).alias("modal"))
 
 
-def _states(spark, d, number):
-    s = table(spark, d, "source_snapshots").where(F.col("snapshot_no") == number).select("source", canonical_uri(F.col("source_uri")).alias("source_uri"), canonical_revision(F.col("revision")).alias("revision"), "delivered_at", F.coalesce("title", F.lit("")).alias("title"))
-    last = s.groupBy("source", "source_uri").agg(F.max(F.struct("delivered_at", "revision", "title")).alias("r"))
-    return last.select("source", "source_uri", F.col("r.revision").alias("revision"), F.sha2("r.title", 256).alias("content_hash"))
+def _states(spark, d):
+    """Every record of every listing: snapshot_no, source, source_uri, revision, content_hash."""
+    s = table(spark, d, "source_snapshots").where("snapshot_no is not null").select("snapshot_no", "source", canonical_uri(F.col("source_uri")).alias("source_uri"), canonical_revision(F.col("revision")).alias("revision"), "delivered_at", F.coalesce("title", F.lit("")).alias("title"))
+    last = s.groupBy("snapshot_no", "source", "source_uri").agg(F.max(F.struct("delivered_at", "revision", "title")).alias("r"))
+    return last.select("snapshot_no", "source", "source_uri", F.col("r.revision").alias("revision"), F.sha2("r.title", 256).alias("content_hash"))
+
+
+def _failed(spark, d):
+    return table(spark, d, "sync_outcomes").select(F.col("sync_no").alias("snapshot_no"), "source", canonical_uri(F.col("source_uri")).alias("source_uri"), (canonical_status(F.col("status")) == "failed").alias("f")).groupBy("snapshot_no", "source", "source_uri").agg(F.max("f").alias("failed"))
+
+
+def sync_steps(spark, d):
+    """Every listing of each source held against the source's last listing before it, whatever numbers lie between; the
+    title stands for the content."""
+    new = _states(spark, d)
+    order = table(spark, d, "source_snapshots").where("snapshot_no is not null").select("source", F.col("snapshot_no").alias("before")).distinct()
+    order = order.withColumn("snapshot_no", F.lead("before").over(Window.partitionBy("source").orderBy("before"))).where("snapshot_no is not null")
+    old = new.withColumnRenamed("snapshot_no", "before").join(order, ["source", "before"]).withColumn("doc_id", F.xxhash64("source", "source_uri")).withColumn("version", F.lit(1))
+    listing = new.join(_failed(spark, d), ["snapshot_no", "source", "source_uri"], "left").withColumn("failed", F.coalesce("failed", F.lit(False)))
+    return sy.sync_plan(old, listing, step=("snapshot_no",)).select("snapshot_no", "source", "source_uri", "status", "version")
+
+
+def sync_steps_prune(spark, d):
+    return sync_steps(spark, d).where("status = 'removed'").select("snapshot_no", "source", "source_uri")
 
 
 def sync_plan(spark, d):
-    """The fourth listing held against the fifth; the title stands for the content."""
-    old = _states(spark, d, 4).withColumn("doc_id", F.xxhash64("source", "source_uri")).withColumn("version", F.lit(1))
-    failed = table(spark, d, "sync_outcomes").where("sync_no = 5").select("source", canonical_uri(F.col("source_uri")).alias("source_uri"), (canonical_status(F.col("status")) == "failed").alias("f")).groupBy("source", "source_uri").agg(F.max("f").alias("failed"))
-    new = _states(spark, d, 5).join(failed, ["source", "source_uri"], "left").withColumn("failed", F.coalesce("failed", F.lit(False)))
+    """The fourth listing held against the fifth, as its SQL has it: a source without a fourth listing starts anew here.
+    sync_steps() goes by each source's own last listing."""
+    old, new = (_states(spark, d).where(F.col("snapshot_no") == n).drop("snapshot_no") for n in (4, 5))
+    old = old.withColumn("doc_id", F.xxhash64("source", "source_uri")).withColumn("version", F.lit(1))
+    failed = _failed(spark, d).where("snapshot_no = 5").drop("snapshot_no")
+    new = new.join(failed, ["source", "source_uri"], "left").withColumn("failed", F.coalesce("failed", F.lit(False)))
     return sy.sync_plan(old, new).select("source", "source_uri", "status", "version")
 
 
@@ -106,8 +128,16 @@ p AS (SELECT coalesce(o.source, n.source) AS source, coalesce(o.source_uri, n.so
   CASE WHEN n.source IS NULL THEN CASE WHEN coalesce(o.source, n.source) IN (SELECT source FROM n) THEN 'removed' END WHEN coalesce(fl.failed, false) THEN 'failed' WHEN o.source IS NULL THEN 'ingested'
     WHEN (n.revision IS NOT NULL AND coalesce(n.revision = o.revision, false)) OR n.content_hash = o.content_hash THEN 'unchanged' ELSE 'updated' END AS status, o.source AS was
   FROM o FULL JOIN n ON o.source = n.source AND o.source_uri = n.source_uri LEFT JOIN fl ON fl.source = n.source AND fl.source_uri = n.source_uri)"""
-
-QUERIES = {f.__name__: f for f in (heading_paths, heading_path_mismatches, markdown_blocks, text_blocks, chunk_documents, chunking_stats, token_histogram, corpus_stats, chunks_per_document, modal_size, sync_plan, sync_prune, sync_report, doc_version_bump)}
+_STEPS = f"""
+WITH l AS (SELECT snapshot_no AS n, source, u, r, sha256(t) AS h FROM (SELECT snapshot_no, source, {_URI} AS u, {_REVISION} AS r, coalesce(title, '') AS t, delivered_at FROM source_snapshots WHERE snapshot_no IS NOT NULL) QUALIFY row_number() OVER (PARTITION BY snapshot_no, source, u ORDER BY delivered_at DESC, r DESC NULLS LAST, t DESC) = 1),
+k AS (SELECT source, n, lag(n) OVER (PARTITION BY source ORDER BY n) AS p FROM (SELECT DISTINCT source, n FROM l)),
+fl AS (SELECT sync_no AS n, source, {_URI} AS u, bool_or({_STATUS} = 'failed') AS failed FROM sync_outcomes GROUP BY 1, 2, 3),
+p AS (
+  SELECT l.n, l.source, l.u, CASE WHEN coalesce(fl.failed, false) THEN 'failed' WHEN o.source IS NULL THEN 'ingested' WHEN coalesce(l.r = o.r, false) OR l.h = o.h THEN 'unchanged' ELSE 'updated' END AS status, o.source AS was
+  FROM l JOIN k ON k.source = l.source AND k.n = l.n LEFT JOIN l o ON o.source = l.source AND o.u = l.u AND o.n = k.p LEFT JOIN fl ON fl.n = l.n AND fl.source = l.source AND fl.u = l.u
+  UNION ALL SELECT k.n, o.source, o.u, 'removed', o.source FROM k JOIN l o ON o.source = k.source AND o.n = k.p WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.source = o.source AND l.u = o.u AND l.n = k.n))"""
+
+QUERIES = {f.__name__: f for f in (heading_paths, heading_path_mismatches, markdown_blocks, text_blocks, chunk_documents, chunking_stats, token_histogram, corpus_stats, chunks_per_document, modal_size, sync_steps, sync_steps_prune, sync_plan, sync_prune, sync_report, doc_version_bump)}
 _TRAIL = "l AS (SELECT doc_id, block_pos, block_type, heading_path, " + ", ".join(f"max(CASE WHEN block_type = 'heading' AND coalesce(block_level, 1) = {n} THEN block_pos END) OVER w AS p{n}" for n in range(1, 10)) + " FROM blocks WINDOW w AS (PARTITION BY doc_id ORDER BY block_pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))"
 _KEEP = ", ".join(f"CASE WHEN p{n} > greatest(-1, {', '.join([f'coalesce(p{m}, -1)' for m in range(1, n)] or ['-1'])}) THEN p{n} END" for n in range(1, 10))
 _PATHS = f"WITH {_TRAIL}, k AS (SELECT doc_id, block_pos, block_type, heading_path, unnest(list_filter([{_KEEP}], lambda p: p IS NOT NULL)) AS hp FROM l), t AS (SELECT k.doc_id, k.block_pos, string_agg(b.block_text, ' > ' ORDER BY k.hp) AS trail FROM k JOIN blocks b ON b.doc_id = k.doc_id AND b.block_pos = k.hp GROUP BY 1, 2), f AS (SELECT b.doc_id, b.block_pos, b.block_type, b.heading_path, coalesce(t.trail, '') AS trail FROM blocks b LEFT JOIN t USING (doc_id, block_pos))"
@@ -127,6 +157,8 @@ SELECT doc_id, CAST(block AS BIGINT) AS block, bool_or(heading) AS is_heading, c
     "chunks_per_document": "SELECT doc_id, count(*) AS n_chunks, max(chunk_index) AS last_index FROM chunks GROUP BY 1",
     "modal_size": "WITH p AS (SELECT doc_id, length(block_text) // 100 AS size, sum(length(block_text)) AS chars, min(block_pos) AS seen FROM blocks GROUP BY 1, 2) SELECT doc_id, CAST(size AS BIGINT) AS modal FROM p QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY chars DESC, seen) = 1",
     "sync_plan": f"{_PLAN} SELECT source, source_uri, status, CAST(CASE status WHEN 'ingested' THEN 1 WHEN 'updated' THEN 2 ELSE CASE WHEN was IS NOT NULL THEN 1 END END AS INTEGER) AS version FROM p WHERE status IS NOT NULL",
+    "sync_steps": f"{_STEPS} SELECT CAST(n AS INTEGER) AS snapshot_no, source, u AS source_uri, status, CAST(CASE status WHEN 'ingested' THEN 1 WHEN 'updated' THEN 2 ELSE CASE WHEN was IS NOT NULL THEN 1 END END AS INTEGER) AS version FROM p",
+    "sync_steps_prune": f"{_STEPS} SELECT CAST(n AS INTEGER) AS snapshot_no, source, u AS source_uri FROM p WHERE status = 'removed'",
     "sync_prune": f"{_PLAN} SELECT source, source_uri FROM p WHERE status = 'removed'",
     "sync_report": "SELECT sync_no, source, " + ", ".join(f"count(*) FILTER ({_STATUS} = '{k}') AS {k}" for k in ("ingested", "updated", "unchanged", "removed", "failed")) + ", CAST(sum(n_chunks) AS BIGINT) AS n_chunks FROM sync_outcomes GROUP BY 1, 2",
     "doc_version_bump": f"WITH o AS (SELECT sync_no, source, {_URI} AS source_uri, {_STATUS} AS status, finished_at FROM sync_outcomes), l AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY sync_no, source, source_uri ORDER BY finished_at DESC, status DESC) = 1) SELECT source, source_uri, count(*) FILTER (status IN ('ingested', 'updated')) AS version FROM l GROUP BY 1, 2",

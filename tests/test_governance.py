@@ -9,6 +9,7 @@ from passagework.operators import governance as gv
 from passagework.operators import limiter
 from passagework.operators import permissions as pm
 from passagework.operators import sync as sy
+from passagework.plans import ingest_queries
 from passagework.sources import listing as ls
 from passagework.sources.versions import VersionedTables
 from passagework.streaming import jobs
@@ -94,6 +95,16 @@ def test_refused_changes_leave_everything(tables):
     assert tables.current() == before
 
 
+def test_a_source_that_missed_a_delivery_is_synchronised_with_its_last(spark, tmp_path):
+    rows = [(1, "s", "a", "1", "x"), (1, "s", "b", "1", "x"), (1, "t", "a", "1", "x"), (2, "t", "a", "2", "y"), (3, "s", "A ", "1", "z"), (3, "s", "c", "1", "x"), (3, "t", "a", "2", "y")]
+    listed = spark.createDataFrame(rows, "snapshot_no int, source string, source_uri string, revision string, title string")
+    listed.selectExpr("*", "timestamp'2025-01-01' AS delivered_at").write.parquet(f"{tmp_path}/source_snapshots.parquet")
+    spark.createDataFrame([(3, "s", "c", "Failed")], "sync_no int, source string, source_uri string, status string").write.parquet(f"{tmp_path}/sync_outcomes.parquet")
+    got = {tuple(r) for r in ingest_queries.sync_steps(spark, str(tmp_path)).where("snapshot_no > 1").collect()}
+    assert got == {(2, "t", "a", "updated", 2), (3, "s", "a", "unchanged", 1), (3, "s", "b", "removed", 1), (3, "s", "c", "failed", None), (3, "t", "a", "unchanged", 1)}
+    assert {tuple(r) for r in ingest_queries.sync_steps_prune(spark, str(tmp_path)).collect()} == {(3, "s", "b")}
+
+
 def test_sync_plan(spark):
     old = spark.createDataFrame([("s", "a", 1, "1", "h", 1), ("s", "b", 2, "1", "h", 3), ("s", "c", 3, "1", "h", 1), ("s", "d", 4, "1", "h", 1), ("t", "z", 5, "1", "h", 1), ("s", "f", 6, None, "h", 1)], "source string, source_uri string, doc_id long, revision string, content_hash string, version int")
     new = spark.createDataFrame([("s", "a", "1", "x", False), ("s", "b", "2", "x", False), ("s", "c", "2", "h", False), ("s", "e", "1", "h", False), ("s", "f", None, None, True)], "source string, source_uri string, revision string, content_hash string, failed boolean")
