@@ -60,6 +60,15 @@ def test_reparameterised(spark):
     assert lk.reparameterised_leaks(docs(spark, (1, ok)), c2, min_fixed=5).count() == 1
 
 
+def test_substitutes_that_no_case_has(spark):
+    c = cases(spark, ("a", Q, None), ("b", "Has the desk agreed to a new onboarding kit in weeks since it pays for once passed credits have", None))
+    swap = lambda t, **by: " ".join(by.get(w.strip("."), w) + "." * w.endswith(".") for w in t.split())
+    new = swap(Q, Port="Nether", Sable="Wickholm", Vinmoor="Ostrava")
+    d = docs(spark, (1, new), (2, new.lower()), (3, swap(Q, orlan="zhugkelz")), (4, swap(Q, Vinmoor="Kit")), (5, Q), (6, swap(Q, the="those", pays="gives", kit="box", weeks="apples", have="had")))
+    got = lk.reparameterised_leaks(d, c).collect()
+    assert {(x.case_id, x.doc_id) for x in got} == {("a", 1), ("a", 2), ("a", 3), ("a", 4)}
+
+
 def test_leakage_dirt(spark):
     c = cases(spark, ("a", None, None), ("b", "", "short"), ("c", Q, Q), ("c", Q, Q))
     d = docs(spark, (1, None), (2, ""), (3, Q), (3, Q), (4, "pad " * 30_000 + Q), (None, "nothing"))
