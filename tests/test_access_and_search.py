@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from passagework.functions import access as ac
 from passagework.functions.stem import stem
 from passagework.operators import retrieval as rt
+from passagework.plans.access_queries import leaks
 
 CH = "chunk_id long, doc_id long, access_group_ids array<int>, section_path string, content string, embedding array<float>, department string, doc_type string, classification string, source_updated_at timestamp"
 
@@ -113,3 +114,10 @@ def test_recheck_blocks_alone(chunks):
 @pytest.mark.parametrize("word, want", [("caresses", "caress"), ("ponies", "poni"), ("cats", "cat"), ("agreed", "agre"), ("plastered", "plaster"), ("motoring", "motor"), ("hopping", "hop"), ("relational", "relat"), ("happy", "happi"), ("adjustment", "adjust"), ("rate", "rate"), ("controll", "control")])
 def test_stems(word, want):
     assert stem(word) == want
+
+
+def test_leaks_of_a_search_are_counted_at_every_position(spark):
+    fused = spark.createDataFrame([("r", 1, 1), ("r", 2, 7), ("r", 3, 30), ("q", 1, 1)], "request_id string, chunk_id long, position int")
+    asked = spark.createDataFrame([("r", [1]), ("q", None)], "request_id string, group_ids array<int>")
+    acl = spark.createDataFrame([(1, [1]), (2, [2]), (3, [])], "chunk_id long, access_group_ids array<int>")
+    assert leaks(fused, asked, acl).first().n_leaks == 3
