@@ -28,6 +28,12 @@ def p3_changed_values(spark: SparkSession, d: str) -> DataFrame:
     return with_values(listing, snapshot_changes(listing, "source")).withColumnRenamed("record_key", "source_uri")
 
 
+def p3_changed_statuses(spark: SparkSession, d: str) -> DataFrame:
+    """The changes of sync_outcomes with the compared statuses."""
+    listing = outcome_listing(spark, d)
+    return with_values(listing, snapshot_changes(listing, "outcome")).withColumnRenamed("record_key", "source_uri")
+
+
 _URI = r"""regexp_replace(regexp_replace(lower(regexp_replace(url_decode(replace(source_uri, '+', '%2B')), '^[\s\x{00A0}]+|[\s\x{00A0}]+$', '', 'g')), '/{2,}', '/', 'g'), '^(\./)+|/$', '', 'g')"""
 _REVISION = r"""regexp_replace(lower(revision), '^[\s\x{00A0}"'']*(w/)?[\s\x{00A0}"'']*|[\s\x{00A0}"'']+$', '', 'g')"""
 _STATUS = r"""lower(regexp_replace(status, '^[\s\x{00A0}]+|[\s\x{00A0}]+$', '', 'g'))"""
@@ -52,8 +58,9 @@ def _ctes(name: str, tab: str, number: str, arrived: str, value: str) -> str:
 _SOURCE = _ctes("s", "source_snapshots", "snapshot_no", "delivered_at", _REVISION)
 _OUTCOME = _ctes("y", "sync_outcomes", "sync_no", "finished_at", _STATUS)
 
-QUERIES = {"p3_found": p3_found, "p3_changed_values": p3_changed_values}
+QUERIES = {"p3_found": p3_found, "p3_changed_values": p3_changed_values, "p3_changed_statuses": p3_changed_statuses}
 SQL = {
     "p3_found": f"WITH {_SOURCE}, {_OUTCOME} SELECT 'source' AS record_kind, source, CAST(n AS INTEGER) AS snapshot_no, u AS source_uri, k AS change_kind FROM s_c UNION ALL SELECT 'outcome', source, CAST(n AS INTEGER), u, k FROM y_c",
     "p3_changed_values": f"WITH {_SOURCE} SELECT source, CAST(n AS INTEGER) AS snapshot_no, u AS source_uri, k AS change_kind, ov AS old_value, nv AS new_value FROM s_c",
+    "p3_changed_statuses": f"WITH {_OUTCOME} SELECT source, CAST(n AS INTEGER) AS snapshot_no, u AS source_uri, k AS change_kind, ov AS old_value, nv AS new_value FROM y_c",
 }

@@ -3,6 +3,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from passagework.operators.snapshots import Listing, canonical_revision, canonical_uri, snapshot_changes, with_values
+from passagework.plans.snapshot_queries import p3_changed_statuses
 
 SCHEMA = "n int, source string, uri string, revision string, at timestamp, snapshot_no string, value string"
 T = lambda h: dt.datetime(2025, 1, 1, h)
@@ -67,3 +68,9 @@ def test_old_values_are_fetched_for_changes(spark):
 def test_bad_escapes_stay(spark):
     df = spark.createDataFrame([("50%+off%zz.md",), (None,), ("%E4%BD%A0/",)], "u string").select(canonical_uri(F.col("u")).alias("c"))
     assert [r.c for r in df.collect()] == ["50%+off%zz.md", None, "你"]
+
+
+def test_changed_statuses_have_their_values(spark, tmp_path):
+    rows = [(1, "s", "a", " Ingested"), (1, "s", "b", "ingested"), (2, "s", "A/", "unchanged"), (2, "s", "b", "INGESTED")]
+    spark.createDataFrame(rows, "sync_no int, source string, source_uri string, status string").selectExpr("*", "timestamp'2025-01-01' AS finished_at").write.parquet(f"{tmp_path}/sync_outcomes.parquet")
+    assert [tuple(r) for r in p3_changed_statuses(spark, str(tmp_path)).select("source_uri", "change_kind", "old_value", "new_value").collect()] == [("a", "changed", "ingested", "unchanged")]
