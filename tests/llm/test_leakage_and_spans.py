@@ -69,6 +69,13 @@ def test_substitutes_that_no_case_has(spark):
     assert {(x.case_id, x.doc_id) for x in got} == {("a", 1), ("a", 2), ("a", 3), ("a", 4)}
 
 
+def test_more_held_out_words_than_are_sent(spark, monkeypatch):
+    monkeypatch.setattr(lk, "MAX_NAMES", 1)
+    c, d = cases(spark, ("a", Q, None)), docs(spark, (1, Q), (2, Q.replace("Vinmoor", "Ostrava")))
+    assert {x.doc_id for x in lk.verbatim_leaks(d, c).where("n_windows = 10").collect()} == {1}
+    assert {x.doc_id for x in lk.reparameterised_leaks(d, c).collect()} == {2}
+
+
 def test_leakage_dirt(spark):
     c = cases(spark, ("a", None, None), ("b", "", "short"), ("c", Q, Q), ("c", Q, Q))
     d = docs(spark, (1, None), (2, ""), (3, Q), (3, Q), (4, "pad " * 30_000 + Q), (None, "nothing"))
