@@ -3,7 +3,8 @@
 Texts are deduplicated, then tagged by the character-level model of pii_model in Arrow batches. A text longer than a
 window is read in overlapping windows; their scores are blended by the distance from the window's edge, and one Viterbi
 pass over the whole text reconciles them. Boundaries are then checked exactly: spans start and end at a word's edge,
-without courtesy titles, and keep what their kind cannot do without (an email its at, a number its digits).
+without courtesy titles. A span that lacks what its kind cannot be without is none: an email its at, a phone or identity
+number five digits, a name or an address a letter.
 
 Defined results: null and empty texts have no mention and stay as they are; repeated rows of one id count once; texts of
 any length are read whole; other columns are ignored.
@@ -20,11 +21,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from passagework.llm.pii_model import KINDS, allowed_transitions, emissions, encode, spans_of, viterbi
+from passagework.llm.pii_model import KINDS, Reader, allowed_transitions, encode, may_have, spans_of, viterbi
 from passagework.workspace import parallelism
 
 WEIGHTS = Path(__file__).with_name("pii_weights.npz")
-WINDOW, STRIDE = 160, 96
+WINDOW, STRIDE = 320, 256
 _TITLE = re.compile(r"(?:mrs|mr|ms|miss|dr|prof)\.?\s+", re.IGNORECASE)
 _EDGE = {"email": "<([\"' ,;:.", "phone": "<[\"' ,;:.", "identity_number": "<([\"' ,;:.#", "street_address": "<([\"' ,;:.\n", "person_name": "<([\"' ,;:.\n"}
 _TAIL = {"email": ">)]\"' ,;:.?!\n", "phone": ">]\"' ,;:.?!\n(", "identity_number": ">)]\"' ,;:.?!\n", "street_address": ">)]\"' ,;:.?!\n", "person_name": ">)]\"' ,;:?!\n"}
@@ -47,7 +48,7 @@ def whole_words(text: str, spans: list[tuple[int, int, int]]) -> set[tuple[int,
 
 
 def settle(text: str, start: int, end: int, kind: int) -> tuple[int, int, int] | None:
-    """The exact boundaries of a tagged span, or None if it cannot be of its kind."""
+    """The exact boundaries of a tagged span, or None if it lacks what its kind cannot be without."""
     name = KINDS[kind]
     while start < end and text[start] in _EDGE[name]:
         start += 1
@@ -60,41 +61,46 @@ def settle(text: str, start: int, end: int, kind: int) -> tuple[int, int, int] |
             end -= 2
     span = text[start:end]
     digits = sum(c.isdigit() for c in span)
-    fine = {"email": "@" in span or re.search(r"\bat\b", span, re.IGNORECASE), "phone": 7 <= digits <= 18, "identity_number": 6 <= digits <= 14, "street_address": digits >= 1 and len(span) >= 6, "person_name": digits == 0 and len(span) >= 3}
+    # what a kind cannot be without; no bound on how long or how many
+    fine = {"email": "@" in span or re.search(r"\bat\b", span, re.IGNORECASE), "phone": digits >= 5, "identity_number": digits >= 5, "street_address": any(map(str.isalpha, span)), "person_name": any(map(str.isalpha, span))}
     return (start, end, kind) if fine[name] else None
 
 
 class Tagger:
     def __init__(self, weights: dict[str, np.ndarray]):
-        self.w = weights
+        self.read, self.n_tags = Reader(weights), weights["wo"].shape[1]
         self.tr = allowed_transitions(weights["tr"])
 
     def _scores(self, ids: list[np.ndarray]) -> list[np.ndarray]:
         """Blended scores of every character of every text."""
-        n_tags = self.w["wo"].shape[1]
-        scores = [np.zeros((len(x), n_tags), np.float32) for x in ids]
-        weight = [np.zeros((len(x), 1), np.float32) for x in ids]
-        cuts = [(len(x[s : s + WINDOW]), i, s) for i, x in enumerate(ids) for s in (range(0, max(1, len(x) - WINDOW + STRIDE), STRIDE))]
+        scores: list[np.ndarray | None] = [None] * len(ids)
+        weight: dict[int, np.ndarray] = {}
+        cuts = [(min(WINDOW, len(x) - s), i, s) for i, x in enumerate(ids) for s in (range(0, max(1, len(x) - WINDOW + STRIDE), STRIDE))]
         cuts.sort()
-        for c in range(0, len(cuts), 512):
-            part = cuts[c : c + 512]
+        for c in range(0, len(cuts), 256):
+            part = cuts[c : c + 256]
             block = np.zeros((len(part), part[-1][0]), np.int16)
             for r, (n, i, s) in enumerate(part):
                 block[r, :n] = ids[i][s : s + n]
-            e = emissions(self.w, block)
+            e = self.read(block)
             for r, (n, i, s) in enumerate(part):
+                if n == len(ids[i]):
+                    scores[i] = e[r, :n]
+                    continue
+                if scores[i] is None:
+                    scores[i], weight[i] = np.zeros((len(ids[i]), self.n_tags), np.float32), np.zeros((len(ids[i]), 1), np.float32)
                 edge = np.minimum(np.arange(n) + (1 if s else WINDOW), np.arange(n, 0, -1) + (0 if s + n < len(ids[i]) else WINDOW))
                 v = np.minimum(edge, 40).astype(np.float32)[:, None]
                 scores[i][s : s + n] += e[r, :n] * v
                 weight[i][s : s + n] += v
-        return [s / np.maximum(w, 1) for s, w in zip(scores, weight)]
+        return [s / np.maximum(weight[i], 1) if i in weight else s for i, s in enumerate(scores)]
 
     def spans(self, texts: list[str]) -> list[list[tuple[int, int, int]]]:
         ids = [encode(t) for t in texts]
         full = [i for i, x in enumerate(ids) if len(x)]
         scores = self._scores([ids[i] for i in full])
         out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-        order = sorted(range(len(full)), key=lambda j: len(scores[j]))
+        order = sorted((j for j in range(len(full)) if may_have(scores[j], self.tr)), key=lambda j: len(scores[j]))
         s = 0
         while s < len(order):
             # as many texts of like length as keep the block small
@@ -102,7 +108,7 @@ class Tagger:
             part = order[s : s + size]
             s += size
             lengths = np.array([len(scores[j]) for j in part])
-            block = np.zeros((len(part), lengths.max(), self.w["wo"].shape[1]), np.float32)
+            block = np.zeros((len(part), lengths.max(), self.n_tags), np.float32)
             for r, j in enumerate(part):
                 block[r, : lengths[r]] = scores[j]
             for j, tags in zip(part, viterbi(block, self.tr, lengths)):

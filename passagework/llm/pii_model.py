@@ -30,7 +30,7 @@ def encode(text: str) -> np.ndarray:
     return np.fromiter(map(_chars.__getitem__, text), np.int16, len(text))
 
 
-def init(embed: int = 24, hidden: int = 64, seed: int = 1) -> dict[str, np.ndarray]:
+def init(embed: int = 24, hidden: int = 48, seed: int = 1) -> dict[str, np.ndarray]:
     r = np.random.default_rng(seed)
     g = lambda *s: (r.standard_normal(s) / np.sqrt(s[-2])).astype(np.float32)
     p = {"emb": (r.standard_normal((N_CHARS, embed)) * 0.3).astype(np.float32), "wx": g(2, embed, 4 * hidden), "wh": g(2, hidden, 4 * hidden), "b": np.zeros((2, 1, 4 * hidden), np.float32), "wo": g(2 * hidden, N_TAGS), "bo": np.zeros(N_TAGS, np.float32), "tr": np.zeros((N_TAGS, N_TAGS), np.float32)}
@@ -42,12 +42,47 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (np.tanh(0.5 * x) + 1)
 
 
-def emissions(p: dict, ids: np.ndarray) -> np.ndarray:
-    """ids (B, T), PAD at the end. Scores (B, T, tags)."""
-    return _forward(p, ids, keep=False)[0]
-
-
-def _forward(p: dict, ids: np.ndarray, keep: bool):
+class Reader:
+    """The forward pass alone, in place: the halves of sigmoid(x) = tanh(x / 2) / 2 + 1 / 2 are put into the weights, so
+    that one tanh does for all gates, and a padding character shuts the input gate, so that no mask is needed."""
+
+    def __init__(self, p: dict):
+        h = p["wh"].shape[1]
+        scale = np.ones(4 * h, np.float32)
+        scale[: 3 * h] = 0.5
+        table = (np.matmul(p["emb"][None], p["wx"]) + p["b"]) * scale
+        table[:, PAD, :h] = -30
+        self.h, self.table, self.wh, self.wo, self.bo = h, np.ascontiguousarray(table), p["wh"] * scale, p["wo"], p["bo"]
+
+    def __call__(self, ids: np.ndarray) -> np.ndarray:
+        """ids (B, T), PAD at the end. Scores (B, T, tags)."""
+        (b, t), h = ids.shape, self.h
+        ahead, back = np.ascontiguousarray(ids.T), np.ascontiguousarray(ids.T[::-1])
+        hs = np.zeros((t + 1, 2, b, h), np.float32)
+        z, c, tmp = np.empty((2, b, 4 * h), np.float32), np.zeros((2, b, h), np.float32), np.empty((2, b, h), np.float32)
+        inputs = np.empty((2, b, 4 * h), np.float32)
+        gates = z[..., : 3 * h]
+        i, f, o, g = (z[..., k * h : (k + 1) * h] for k in range(4))
+        for s in range(t):
+            np.matmul(hs[s], self.wh, out=z)
+            np.take(self.table[0], ahead[s], axis=0, out=inputs[0], mode="clip")
+            np.take(self.table[1], back[s], axis=0, out=inputs[1], mode="clip")
+            z += inputs
+            np.tanh(z, out=z)
+            gates *= 0.5
+            gates += 0.5
+            c *= f
+            np.multiply(i, g, out=tmp)
+            c += tmp
+            np.tanh(c, out=tmp)
+            np.multiply(o, tmp, out=hs[s + 1])
+        e = hs[1:, 0] @ self.wo[:h]
+        e += hs[:0:-1, 1] @ self.wo[h:]
+        e += self.bo
+        return e.transpose(1, 0, 2)
+
+
+def _forward(p: dict, ids: np.ndarray):
     b, t = ids.shape
     h4 = p["wh"].shape[2]
     h = h4 // 4
@@ -56,8 +91,8 @@ def _forward(p: dict, ids: np.ndarray, keep: bool):
     both = np.stack([ids, ids[:, ::-1]])
     live = (both != PAD).astype(np.float32)
     hs = np.zeros((t + 1, 2, b, h), np.float32)
-    cs = np.zeros((t + 1, 2, b, h), np.float32) if keep else np.zeros((2, b, h), np.float32)
-    gates = np.empty((t, 2, b, h4), np.float32) if keep else None
+    cs = np.zeros((t + 1, 2, b, h), np.float32)
+    gates = np.empty((t, 2, b, h4), np.float32)
     c = np.zeros((2, b, h), np.float32)
     for s in range(t):
         z = np.matmul(hs[s], p["wh"])
@@ -69,40 +104,34 @@ def _forward(p: dict, ids: np.ndarray, keep: bool):
         m = live[:, :, s, None]
         c = (f * c + i * g) * m
         hs[s + 1] = o * np.tanh(c) * m
-        if keep:
-            gates[s], cs[s + 1] = z, c
+        gates[s], cs[s + 1] = z, c
     top = np.concatenate([hs[1:, 0], hs[:0:-1, 1]], axis=2).transpose(1, 0, 2)
     return top @ p["wo"] + p["bo"], top, hs, cs, gates, both, live
 
 
-def _logsumexp(x: np.ndarray, axis: int) -> np.ndarray:
-    m = x.max(axis, keepdims=True)
-    return np.log(np.exp(x - m).sum(axis)) + m.squeeze(axis)
-
-
 def loss_and_grads(p: dict, ids: np.ndarray, tags: np.ndarray) -> tuple[float, dict]:
     b, t = ids.shape
-    em, top, hs, cs, gates, both, live = _forward(p, ids, keep=True)
+    em, top, hs, cs, gates, both, live = _forward(p, ids)
     mask = ids != PAD
-    tr = p["tr"].astype(np.float64)
-    e = em.astype(np.float64)
-    # CRF: forward and backward sums, padding carried through
-    alpha = np.empty((t, b, N_TAGS))
-    alpha[0] = e[:, 0]
+    tr, e = p["tr"].astype(np.float64), em.astype(np.float64)
+    # CRF: forward and backward sums as probabilities scaled at every step; padding is carried through
+    high = e.max(2, keepdims=True)
+    scores, step = np.exp(e - high).transpose(1, 0, 2).copy(), np.exp(tr)
+    on = mask.T[:, :, None]
+    alpha, beta, scale = np.empty((t, b, N_TAGS)), np.ones((t, b, N_TAGS)), np.ones((t, b, 1))
+    scale[0] = scores[0].sum(1, keepdims=True)
+    alpha[0] = scores[0] / scale[0]
     for s in range(1, t):
-        a = _logsumexp(alpha[s - 1][:, :, None] + tr[None], 1) + e[:, s]
-        alpha[s] = np.where(mask[:, s, None], a, alpha[s - 1])
-    log_z = _logsumexp(alpha[-1], 1)
-    beta = np.zeros((t, b, N_TAGS))
-    d_tr = np.zeros_like(tr)
+        a = (alpha[s - 1] @ step) * scores[s]
+        total = a.sum(1, keepdims=True)
+        alpha[s] = np.where(on[s], a / total, alpha[s - 1])
+        scale[s] = np.where(on[s], total, 1.0)
+    log_z = np.log(scale)[:, :, 0].sum(0) + (high[:, :, 0] * mask).sum(1)
     for s in range(t - 2, -1, -1):
-        nxt = e[:, s + 1] + beta[s + 1]
-        v = _logsumexp(tr[None] + nxt[:, None, :], 2)
-        on = mask[:, s + 1]
-        beta[s] = np.where(on[:, None], v, beta[s + 1])
-        joint = np.exp(alpha[s][:, :, None] + tr[None] + nxt[:, None, :] - log_z[:, None, None])
-        d_tr += joint[on].sum(0)
-    d_em = np.exp(alpha.transpose(1, 0, 2) + beta.transpose(1, 0, 2) - log_z[:, None, None]) * mask[:, :, None]
+        beta[s] = np.where(on[s + 1], (scores[s + 1] * beta[s + 1] / scale[s + 1]) @ step.T, beta[s + 1])
+    after = np.where(on[1:], scores[1:] * beta[1:] / scale[1:], 0.0)
+    d_tr = step * (alpha[:-1].reshape(-1, N_TAGS).T @ after.reshape(-1, N_TAGS))
+    d_em = (alpha * beta).transpose(1, 0, 2) * mask[:, :, None]
     rows, cols = np.nonzero(mask)
     gold = e[rows, cols, tags[rows, cols]].sum()
     d_em[rows, cols, tags[rows, cols]] -= 1
@@ -171,6 +200,13 @@ def allowed_transitions(tr: np.ndarray) -> np.ndarray:
     return out
 
 
+def may_have(e: np.ndarray, tr: np.ndarray) -> bool:
+    """Whether the best path of a text (T, tags) could leave the outside tag. Not if at every character the gain of every
+    tag over outside is less than what entering and leaving could gain by transitions."""
+    most = 2 * max(0.0, float(tr.max() - tr[0, 0]))
+    return bool((e[:, 1:].max(1) - e[:, 0]).max() + most >= 0)
+
+
 def viterbi(e: np.ndarray, tr: np.ndarray, lengths: np.ndarray) -> list[np.ndarray]:
     """Best tags of each text of a padded batch (B, T, tags)."""
     b, t, n = e.shape
