@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from passagework.llm.pii_model import KINDS, Reader, allowed_transitions, encode, may_have, spans_of, viterbi
+from passagework.llm.pii_model import KINDS, Reader, allowed_transitions, encode, open_runs, spans_of, viterbi
 from passagework.workspace import parallelism
 
 WEIGHTS = Path(__file__).with_name("pii_weights.npz")
@@ -96,29 +96,56 @@ class Tagger:
         return [s / np.maximum(weight[i], 1) if i in weight else s for i, s in enumerate(scores)]
 
     def spans(self, texts: list[str]) -> list[list[tuple[int, int, int]]]:
+        out: list[list[tuple[int, int, int]]] = []
         ids = [encode(t) for t in texts]
-        full = [i for i, x in enumerate(ids) if len(x)]
-        scores = self._scores([ids[i] for i in full])
+        begin = 0
+        while begin < len(texts):
+            # as many texts as keep the scores small; a longer one by itself
+            end, held = begin + 1, len(ids[begin])
+            while end < len(texts) and held + len(ids[end]) <= 1 << 19:
+                held += len(ids[end])
+                end += 1
+            out += self._decoded(texts[begin:end], ids[begin:end])
+            begin = end
+        return out
+
+    def _decoded(self, texts: list[str], ids: list[np.ndarray]) -> list[list[tuple[int, int, int]]]:
         out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-        order = sorted((j for j in range(len(full)) if may_have(scores[j], self.tr)), key=lambda j: len(scores[j]))
-        s = 0
+        full = [i for i, x in enumerate(ids) if len(x)]
+        if not full:
+            return out
+        ends = np.cumsum([len(ids[i]) for i in full])
+        e = np.concatenate(self._scores([ids[i] for i in full]))
+        starts, stops = open_runs(e, ends, self.tr)
+        own = np.searchsorted(ends, starts, "right")
+        # a character of the outside tag on either side, where the text has one
+        starts_, stops_ = np.maximum(starts - 1, np.where(own > 0, ends[own - 1], 0)), np.minimum(stops + 1, ends[own])
+        order, found, s = np.argsort(stops_ - starts_, kind="stable"), {}, 0
         while s < len(order):
-            # as many texts of like length as keep the block small
-            size = max(1, min(256, (1 << 18) // len(scores[order[min(len(order), s + 256) - 1]])))
-            part = order[s : s + size]
-            s += size
-            lengths = np.array([len(scores[j]) for j in part])
-            block = np.zeros((len(part), lengths.max(), self.n_tags), np.float32)
+            # as many runs of like length as keep the block small
+            most = int((stops_ - starts_)[order[min(len(order), s + 512) - 1]])
+            part = order[s : s + max(1, min(512, (1 << 18) // most))]
+            s += len(part)
+            lengths = (stops_ - starts_)[part]
+            block = np.zeros((len(part), int(lengths.max()), self.n_tags), np.float32)
             for r, j in enumerate(part):
-                block[r, : lengths[r]] = scores[j]
+                block[r, : lengths[r]] = e[starts_[j] : stops_[j]]
+                if starts_[j] < starts[j]:
+                    block[r, 0, 1:] = -1e9
+                if stops_[j] > stops[j]:
+                    block[r, lengths[r] - 1, 1:] = -1e9
             for j, tags in zip(part, viterbi(block, self.tr, lengths)):
-                text = texts[full[j]]
-                got = [x for a, b, k in whole_words(text, spans_of(tags)) if (x := settle(text, a, b, k))]
-                last = -1
-                for x in sorted(set(got)):
-                    if x[0] >= last:
-                        out[full[j]].append(x)
-                        last = x[1]
+                found[int(j)] = tags
+        tagged: dict[int, list] = {}
+        for j in range(len(starts)):
+            at = int(starts_[j]) - (int(ends[own[j] - 1]) if own[j] else 0)
+            tagged.setdefault(full[own[j]], []).extend((a + at, b + at, k) for a, b, k in spans_of(found[j]))
+        for i, spans in tagged.items():
+            last = -1
+            for x in sorted({x for a, b, k in whole_words(texts[i], spans) if (x := settle(texts[i], a, b, k))}):
+                if x[0] >= last:
+                    out[i].append(x)
+                    last = x[1]
         return out
 
 

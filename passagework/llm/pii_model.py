@@ -43,8 +43,9 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 class Reader:
-    """The forward pass alone, in place: the halves of sigmoid(x) = tanh(x / 2) / 2 + 1 / 2 are put into the weights, so
-    that one tanh does for all gates, and a padding character shuts the input gate, so that no mask is needed."""
+    """The forward pass alone, in place: the halves of sigmoid(x) = (tanh(x / 2) + 1) / 2 are put into the weights, so that
+    one tanh does for all gates (states are kept doubled), and a padding character shuts the input gate, so that no mask
+    is needed."""
 
     def __init__(self, p: dict):
         h = p["wh"].shape[1]
@@ -52,7 +53,7 @@ class Reader:
         scale[: 3 * h] = 0.5
         table = (np.matmul(p["emb"][None], p["wx"]) + p["b"]) * scale
         table[:, PAD, :h] = -30
-        self.h, self.table, self.wh, self.wo, self.bo = h, np.ascontiguousarray(table), p["wh"] * scale, p["wo"], p["bo"]
+        self.h, self.table, self.wh, self.wo, self.bo = h, np.ascontiguousarray(table), p["wh"] * scale / 2, p["wo"] / 2, p["bo"]
 
     def __call__(self, ids: np.ndarray) -> np.ndarray:
         """ids (B, T), PAD at the end. Scores (B, T, tags)."""
@@ -69,11 +70,11 @@ class Reader:
             np.take(self.table[1], back[s], axis=0, out=inputs[1], mode="clip")
             z += inputs
             np.tanh(z, out=z)
-            gates *= 0.5
-            gates += 0.5
+            gates += 1
             c *= f
             np.multiply(i, g, out=tmp)
             c += tmp
+            c *= 0.5
             np.tanh(c, out=tmp)
             np.multiply(o, tmp, out=hs[s + 1])
         e = hs[1:, 0] @ self.wo[:h]
@@ -200,11 +201,28 @@ def allowed_transitions(tr: np.ndarray) -> np.ndarray:
     return out
 
 
-def may_have(e: np.ndarray, tr: np.ndarray) -> bool:
-    """Whether the best path of a text (T, tags) could leave the outside tag. Not if at every character the gain of every
-    tag over outside is less than what entering and leaving could gain by transitions."""
-    most = 2 * max(0.0, float(tr.max() - tr[0, 0]))
-    return bool((e[:, 1:].max(1) - e[:, 0]).max() + most >= 0)
+def open_runs(e: np.ndarray, ends: np.ndarray, tr: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """e: scores of texts one after the other (N, tags); ends: where each ends. The runs of characters (start, end) outside
+    which the best path of every text is the outside tag for certain: what any run of other tags that holds such a
+    character could gain over outside, begun by a tag that begins and with the best of all transitions, is less than nothing."""
+    base, outside = tr[0, 0], e[:, 0].astype(np.float64)
+    lengths = np.diff(np.concatenate([[0], ends]))
+    at = np.arange(len(e)) + 1 + np.repeat(np.arange(len(ends)), lengths)
+    flat, enter = np.full((2, len(e) + len(ends) + 1), -1e6)  # a wall before, between and after the texts
+    flat[at] = (e[:, 1:] + tr[1:, 1:].max(0)).max(1) - outside - base
+    enter[at] = (e[:, 1::2] + tr[0, 1::2]).max(1) - outside - base
+    firsts = np.concatenate([[0], ends[:-1]])
+    enter[at[firsts]] = e[firsts, 1::2].max(1) - outside[firsts]  # nothing comes before the first character
+    leave = max(0.0, float(tr[1:, 0].max() - base))
+    total = np.cumsum(flat)
+    left = total + np.maximum.accumulate(enter - total)  # best run that has begun and goes to here
+    right = np.maximum.accumulate(total[::-1])[::-1] - total  # what going on can add
+    maybe = (left + right + leave >= -1e-3).astype(np.int8)
+    maybe[[0, -1]] = 0
+    turn = np.diff(maybe)
+    starts, stops = np.flatnonzero(turn == 1) + 1, np.flatnonzero(turn == -1) + 1
+    walls = np.cumsum(flat == -1e6)
+    return starts - walls[starts], stops - walls[starts]
 
 
 def viterbi(e: np.ndarray, tr: np.ndarray, lengths: np.ndarray) -> list[np.ndarray]:

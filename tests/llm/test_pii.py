@@ -54,14 +54,37 @@ def test_reader_agrees_with_the_training_pass():
     assert np.abs(want - got)[ids != 0].max() < 1e-4
 
 
-def test_texts_passed_over_have_no_span():
+def test_outside_the_open_runs_nothing_is_tagged():
     r = np.random.default_rng(4)
-    tr = pm.allowed_transitions(r.normal(size=(pm.N_TAGS, pm.N_TAGS)))
-    for _ in range(300):
-        e = r.normal(size=(1, 6, pm.N_TAGS)) * r.choice([0.5, 3])
-        e[..., 0] += r.choice([0, 4, 9])
-        if not pm.may_have(e[0], tr):
-            assert not pm.viterbi(e, tr, np.array([6]))[0].any()
+    seen = 0
+    for _ in range(200):
+        tr = pm.allowed_transitions(r.normal(size=(pm.N_TAGS, pm.N_TAGS)))
+        lengths = r.integers(1, 12, 5)
+        e = (r.normal(size=(int(lengths.sum()), pm.N_TAGS)) * r.choice([0.5, 3])).astype(np.float32)
+        e[:, 0] += r.choice([0, 3, 6])
+        starts, stops = pm.open_runs(e, np.cumsum(lengths), tr)
+        inside = np.zeros(len(e), bool)
+        for a, b in zip(starts, stops):
+            inside[a:b] = True
+        at = 0
+        for n in lengths:
+            tags = pm.viterbi(e[None, at : at + n], tr, np.array([n]))[0]
+            assert not tags[~inside[at : at + n]].any()
+            at += n
+        seen += int((~inside).sum())
+    assert seen > 500
+
+
+def test_runs_decoded_alone_give_the_path_of_the_text(tagger):
+    drawer = Drawer(31)
+    texts = ["", "a", *(labelled(drawer)[0] for _ in range(300))]
+    whole = []
+    for t in texts:
+        ids = pm.encode(t)
+        tags = pm.viterbi(tagger._scores([ids])[0][None], tagger.tr, np.array([len(ids)]))[0] if len(ids) else np.empty(0)
+        got = sorted({x for a, b, k in pii.whole_words(t, pm.spans_of(tags)) if (x := pii.settle(t, a, b, k))})
+        whole.append([x for i, x in enumerate(got) if not i or x[0] >= max(y[1] for y in got[:i])])
+    assert tagger.spans(texts) == whole
 
 
 def test_sentences_of_everyday(tagger):
