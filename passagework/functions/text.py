@@ -135,12 +135,12 @@ def render_block(kind: Column, text: Column, level: Column, lang: Column) -> Col
 
 
 def is_abstention(answer: Column, sentinel: str) -> Column:
-    """The sentinel alone, final dots aside, or inside a message little longer than it."""
-    bare = F.lower(F.regexp_replace(F.trim(answer), r"\.+$", ""))
-    s = F.lit(sentinel.lower().rstrip("."))
-    return (bare == s) | (F.lower(answer).contains(s) & (F.length(answer) < len(sentinel) + 80))
+    """The sentinel alone, outer dots aside, or inside a message little longer than it. Letter case counts."""
+    bare = F.trim(F.regexp_replace(F.trim(answer), r"^\.+|\.+$", ""))
+    s = F.lit(sentinel.strip("."))
+    return (bare == s) | (answer.contains(s) & (F.length(answer) < len(sentinel) + 80))
 
 
 def tidy_markers(text: Column) -> Column:
-    """Blanks before punctuation and repeated blanks dropped."""
-    return F.trim(F.regexp_replace(F.regexp_replace(text, r"[ \t]+([.,;:])", "$1"), r"[ \t]+", " "))
+    """Blanks before punctuation, repeated and outer blanks dropped."""
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r" +([.,;:])", "$1"), r"[ \t]{2,}", " "), r"^[ \t\r\n]+|[ \t\r\n]+$", "")

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from passagework.functions import text as tx
+from passagework.workspace import materialise
 
 #: A claim has this many words; support and pass marks; overlap at which a passage repeats another; gate.
 CLAIM_WORDS, SUPPORTED, PASSED, REPEATS, GATE = 6, 0.45, 0.70, 0.85, 0.60
@@ -21,9 +22,11 @@ MARKER = r"\[\d{1,3}\]"
 
 
 def build_context(ranked: DataFrame, budget: int) -> DataFrame:
-    """ranked: request_id, position, chunk_id, content. A fold in rank order over the few candidates of a request: a
-    passage that repeats a kept one is dropped; the first that does not fit ends the context, unless it is the first."""
-    prepared = ranked.select("request_id", "position", "chunk_id", tx.token_count(F.col("content")).alias("tokens"), tx.long_words(F.col("content")).alias("words"))
+    """ranked: request_id, position, chunk_id, content, document_title, section_path, source_uri, source_updated_at. A fold
+    in rank order over the few candidates of a request: a passage that repeats a kept one is dropped; the first that does
+    not fit ends the context, unless it is the first. A passage costs what it takes as rendered, number and header too."""
+    shown = tx.render_passage(F.lit(""), F.col("document_title"), F.col("section_path"), F.col("source_uri"), F.col("source_updated_at"), F.col("content"))
+    prepared = ranked.select("request_id", "position", "chunk_id", F.length(tx.collapse(shown)).alias("n_chars"), tx.long_words(F.col("content")).alias("words"))
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         kept, rows, running = [], [], 0
@@ -31,11 +34,12 @@ def build_context(ranked: DataFrame, budget: int) -> DataFrame:
             words = set(r.words)
             if any(min(len(k), len(words)) and len(k & words) >= REPEATS * min(len(k), len(words)) for k in kept):
                 continue
-            if kept and running + r.tokens > budget:
+            tokens = int((r.n_chars + len(str(len(kept) + 1))) / tx.PROSE_RATIO + 0.5)
+            if kept and running + tokens > budget:
                 break
-            running += r.tokens
+            running += tokens
             kept.append(words)
-            rows.append((r.request_id, r.chunk_id, len(kept), r.tokens, running))
+            rows.append((r.request_id, r.chunk_id, len(kept), tokens, running))
         return pd.DataFrame(rows, columns=["request_id", "chunk_id", "number", "tokens", "running"])
 
     return prepared.groupBy("request_id").applyInPandas(fold, "request_id string, chunk_id long, number int, tokens int, running int")
@@ -54,6 +58,7 @@ def with_citations(answers: DataFrame) -> DataFrame:
 
 
 def uncited_count(answer: Column) -> Column:
+    """Sentences of six words or more without a marker, in a text whose invalid markers are gone."""
     return F.size(F.filter(tx.sentences(answer), lambda s: ~s.rlike(MARKER) & (F.size(tx.word_list(s)) >= CLAIM_WORDS)))
 
 
@@ -160,19 +165,30 @@ def complete(prompts: DataFrame, make: Callable[[], Model]) -> DataFrame:
     return prompts.mapInPandas(run, "request_id string, answer string, prompt_tokens int, completion_tokens int")
 
 
-def answer_requests(requests: DataFrame, fused: DataFrame, passages: DataFrame, make: Callable[[], Model], budget: int = 3000, gate: float = GATE, sentinel: str = "NO EVIDENCE") -> DataFrame:
+def answer_requests(requests: DataFrame, fused: DataFrame, passages: DataFrame, make: Callable[[], Model], budget: int = 3000, gate: float = GATE, sentinel: str = "NO EVIDENCE", spent: float = 0.0, daily_budget: float | None = None) -> DataFrame:
     """requests: request_id, question; fused: ranked candidates; passages: chunk_id, doc_id, content and what is shown.
-    One row per request: status, reason, answer, cited_doc_ids. Those below the gate or without context never reach the
-    model."""
-    best = fused.groupBy("request_id").agg(F.max(F.coalesce("vector_score", F.lit(0.0))).alias("best"))
-    gated = requests.join(best, "request_id", "left").withColumn("best", F.coalesce("best", F.lit(0.0)))
+    One row per request: status, reason, best, answer with valid markers only, cited_doc_ids in the order of the markers,
+    n_uncited, grounding against the cited passages, confidence, tokens. Requests below the gate, without context or, once
+    `spent` has reached the daily budget, any other do not reach the model."""
+    best = fused.groupBy("request_id").agg(F.max(F.coalesce("vector_score", F.lit(0.0))).alias("best"), F.max("rrf_score").alias("top"))
+    gated = requests.join(best, "request_id", "left").withColumns({"best": F.coalesce("best", F.lit(0.0)), "top": F.coalesce("top", F.lit(0.0))})
     through = gated.where(F.col("best") >= gate)
-    shown = fused.join(through.select("request_id"), "request_id", "left_semi").join(passages, "chunk_id")
-    kept = build_context(shown.select("request_id", "position", "chunk_id", "content"), budget).join(passages, "chunk_id")
+    shown = fused.select("request_id", "position", "chunk_id").join(through.select("request_id"), "request_id", "left_semi").join(passages, "chunk_id")
+    kept = build_context(shown, budget).join(passages, "chunk_id")
     block = tx.render_passage(F.col("number"), F.col("document_title"), F.col("section_path"), F.col("source_uri"), F.col("source_updated_at"), F.col("content"))
-    context = kept.withColumn("block", block).groupBy("request_id").agg(F.array_sort(F.collect_list(F.struct("number", "block", "doc_id"))).alias("s")).select("request_id", F.array_join(F.transform("s", lambda s: s["block"]), "\n\n").alias("context"), F.transform("s", lambda s: s["doc_id"]).alias("doc_ids"))
-    said = complete(through.join(context, "request_id").select("request_id", prompt(F.col("context"), F.col("question")).alias("prompt")), make)
-    full = gated.join(context.select("request_id", "doc_ids"), "request_id", "left").join(said, "request_id", "left")
-    reason = F.when(F.col("best") < gate, "no_relevant_candidates").when(F.col("doc_ids").isNull(), "empty_context").when(tx.is_abstention(F.col("answer"), sentinel), "model_abstained")
-    cited = F.array_distinct(F.transform(F.filter(F.array_distinct(tx.citation_numbers(F.col("answer"))), lambda n: (n >= 1) & (n <= F.size("doc_ids"))), lambda n: F.element_at("doc_ids", n)))
-    return full.withColumn("reason", reason).select("request_id", F.when(F.col("reason").isNull(), "answered").otherwise("insufficient_evidence").alias("status"), "reason", "best", F.when(F.col("reason").isNull(), F.col("answer")).alias("answer"), F.when(F.col("reason").isNull(), cited).alias("cited_doc_ids"), "prompt_tokens", "completion_tokens")
+    context = kept.withColumn("block", block).groupBy("request_id").agg(F.array_sort(F.collect_list(F.struct("number", "block", "doc_id", "chunk_id"))).alias("s")).select("request_id", F.array_join(F.transform("s", lambda s: s["block"]), "\n\n").alias("context"), F.transform("s", lambda s: s["doc_id"]).alias("doc_ids"), F.transform("s", lambda s: s["chunk_id"]).alias("chunk_ids"))
+    open_ = daily_budget is None or spent < daily_budget
+    asked = through.join(context, "request_id").where(F.lit(open_))
+    # what the model said is needed several times and must be asked for once
+    said = materialise(complete(asked.select("request_id", prompt(F.col("context"), F.col("question")).alias("prompt")), make), "answers-said")
+    full = gated.join(context.select("request_id", "doc_ids", "chunk_ids"), "request_id", "left").join(said, "request_id", "left")
+    reason = F.when(F.col("best") < gate, "no_relevant_candidates").when(F.col("doc_ids").isNull(), "empty_context").when(F.lit(not open_), "budget_exhausted").when(tx.is_abstention(F.col("answer"), sentinel), "model_abstained")
+    judged = materialise(full.withColumn("reason", reason), "answers-judged")
+    told = renumbered(judged.where("reason is null").select(F.col("request_id").alias("outcome_id"), F.trim("answer").alias("answer"), F.col("chunk_ids").alias("cited_doc_ids"), "doc_ids"))
+    told = told.select("outcome_id", F.col("clean_answer").alias("answer"), F.transform("ordered", lambda n: F.element_at("cited_doc_ids", n)).alias("cited_doc_ids"), F.array_distinct(F.transform("ordered", lambda n: F.element_at("doc_ids", n))).alias("documents"), F.size("ordered").alias("n_citations"), uncited_count(F.col("clean_answer")).alias("n_uncited"))
+    support = claim_support(told, passages.select(F.col("chunk_id").alias("doc_id"), F.col("content").alias("text")))
+    grounded = grounding(support, told).select("outcome_id", "grounding")
+    checked = told.join(grounded, "outcome_id").withColumnRenamed("outcome_id", "request_id").withColumnRenamed("answer", "clean")
+    out = judged.select("request_id", "reason", "best", "top", "prompt_tokens", "completion_tokens").join(checked, "request_id", "left")
+    confidence = F.when(F.col("reason").isNull(), band(F.col("grounding"), F.col("n_uncited"), F.col("n_citations"), F.col("top")))
+    return out.select("request_id", F.when(F.col("reason").isNull(), "answered").otherwise("insufficient_evidence").alias("status"), "reason", "best", F.col("clean").alias("answer"), F.col("documents").alias("cited_doc_ids"), "n_uncited", "grounding", confidence.alias("confidence"), "prompt_tokens", "completion_tokens")

@@ -69,8 +69,9 @@ def citation_invalid(spark, d):
 
 
 def uncited_sentences(spark, d):
-    a = an.with_citations(answers(spark, d))
-    return a.select("outcome_id", an.uncited_count(F.col("answer")).alias("n_uncited"))
+    """Counted once invalid markers are gone: a sentence with a made-up marker alone cites nothing."""
+    a = an.renumbered(answers(spark, d))
+    return a.select("outcome_id", an.uncited_count(F.col("clean_answer")).alias("n_uncited"))
 
 
 def citation_resolve(spark, d):
@@ -98,8 +99,12 @@ def grounding_report(spark, d):
 
 def confidence_band(spark, d):
     g = an.grounding(an.claim_support(answers(spark, d), table(spark, d, "documents")), answers(spark, d))
-    a = an.with_citations(answers(spark, d)).select("outcome_id", F.size("ordered").alias("n_citations"), an.uncited_count(F.col("answer")).alias("n_uncited"))
-    return g.join(a, "outcome_id").select("outcome_id", an.band(F.col("grounding"), F.col("n_uncited"), F.col("n_citations"), F.lit(1.0)).alias("band"))
+    a = an.renumbered(answers(spark, d)).select("outcome_id", "request_id", F.size("ordered").alias("n_citations"), an.uncited_count(F.col("clean_answer")).alias("n_uncited"))
+    # the log keeps no scores, but each retrieved document it names had a fused score of at least that of the last rank
+    least = 1.0 / (rt.RRF_K + rt.RETRIEVER_LIMIT)
+    top = table(spark, d, "access_events").where("doc_id is not null").groupBy("request_id").agg(F.lit(least).alias("top"))
+    full = g.join(a, "outcome_id").join(top, "request_id", "left")
+    return full.select("outcome_id", an.band(F.col("grounding"), F.col("n_uncited"), F.col("n_citations"), F.coalesce("top", F.lit(0.0))).alias("band"))
 
 
 SENTINEL = "I could not find enough evidence in the documents you may read to answer this."
@@ -112,15 +117,16 @@ def abstention_sentinel(spark, d):
 
 def context_budget_dedup(spark, d):
     """The passages of each question's context: in rank order, near-copies dropped, until the token budget is full."""
-    fused = _fused(spark, d).join(table(spark, d, "chunks").select("chunk_id", "content"), "chunk_id")
+    shown = table(spark, d, "chunks").select("chunk_id", "doc_id", "content", "section_path", "source_updated_at").join(table(spark, d, "documents").select("doc_id", F.col("title").alias("document_title"), "source_uri"), "doc_id", "left")
+    fused = _fused(spark, d).join(shown, "chunk_id")
     return an.build_context(fused, 800).select("request_id", "chunk_id", "number", "tokens", "running")
 
 
 def score_margin(spark, d):
-    """First less fourth fused score; the first alone where there are fewer."""
+    """First less fourth fused score; a fourth that is not there counts as 0."""
     f = _fused(spark, d)
     scores = f.groupBy("request_id").agg(F.array_sort(F.collect_list(F.struct("position", "rrf_score"))).alias("s"))
-    return scores.select("request_id", F.round(F.when(F.size("s") >= 4, F.element_at("s", 1)["rrf_score"] - F.try_element_at("s", F.lit(4))["rrf_score"]).otherwise(0.0), 9).alias("margin"))
+    return scores.select("request_id", F.round(F.element_at("s", 1)["rrf_score"] - F.coalesce(F.try_element_at("s", F.lit(4))["rrf_score"], F.lit(0.0)), 9).alias("margin"))
 
 
 _WS = r"[\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -130,6 +136,9 @@ _NUMS = "list_transform(regexp_extract_all(answer, '\\[(\\d{1,3})\\]', 1), lambd
 _SENT = "list_filter(list_transform(string_split(regexp_replace(answer, '([.!?])[ \\t\\r\\n]+', '\\1' || chr(1), 'g'), chr(1)), lambda s: trim(s)), lambda s: s <> '')"
 _NWORDS = lambda c: f"len(list_filter(string_split(regexp_replace({c}, '{_WS}+', ' ', 'g'), ' '), lambda w: w <> ''))"
 _CIT = f"cit AS (SELECT *, {_NUMS} AS nums FROM ans), cv AS (SELECT *, list_filter(nums, lambda n: n >= 1 AND n <= len(cited_doc_ids)) AS valid FROM cit)"
+_ORDER = f"{_CIT}, co AS (SELECT *, list_filter(valid, lambda x, i: list_position(valid, x) = i) AS ordered, regexp_split_to_array(answer, '\\[\\d{{1,3}}\\]') AS parts FROM cv WHERE answer IS NOT NULL)"
+_JOINED = "array_to_string(list_transform(range(1, len(parts) + 1), lambda i: parts[i] || CASE WHEN i <= len(nums) AND list_contains(ordered, nums[i]) THEN '[' || list_position(ordered, nums[i]) || ']' ELSE '' END), '')"
+_CLEANED = f"{_ORDER}, cl AS (SELECT * EXCLUDE (answer), regexp_replace(regexp_replace(regexp_replace({_JOINED}, ' +([.,;:])', '\\1', 'g'), '[ \\t]{{2,}}', ' ', 'g'), '^[ \\t\\r\\n]+|[ \\t\\r\\n]+$', '', 'g') AS answer FROM co)"
 _STOPW = "[" + ", ".join(f"'{w}'" for w in tx.CLAIM_STOP_WORDS) + "]"
 _CW = lambda c: f"list_distinct(list_filter(list_transform(regexp_extract_all(lower({c}), '[a-z0-9$%.:/-]+'), lambda w: regexp_replace(w, '^[.,:;/-]+|[.,:;/-]+$', '', 'g')), lambda w: length(w) > 2 AND NOT list_contains({_STOPW}, w)))"
 _CLAIMS = f"""
@@ -142,6 +151,7 @@ sup AS (SELECT c.outcome_id, c.claim_no, count(d.doc_id) AS n_targets, coalesce(
 gr AS (SELECT a.outcome_id, count(s.claim_no) AS n_claims, count(s.claim_no) FILTER (support >= 0.45) AS n_supported FROM ans a LEFT JOIN sup s USING (outcome_id) WHERE a.answer IS NOT NULL GROUP BY 1),
 grd AS (SELECT *, CASE WHEN n_claims = 0 THEN 1.0 ELSE round(n_supported / n_claims, 3) END AS grounding FROM gr)"""
 _UNC = f"CAST(len(list_filter({_SENT}, lambda s: NOT regexp_matches(s, '\\[\\d{{1,3}}\\]') AND {_NWORDS('s')} >= 6)) AS INTEGER)"
+_COST = "greatest(1, floor((c.l + length(CAST(g.number + 1 AS VARCHAR))) / CAST(3.8 AS DOUBLE) + 0.5))"
 _PARTS = "string_split(section_path, ' > ')"
 
 QUERIES = {f.__name__: f for f in (token_count, content_hash, duplicate_documents, embed_text_prefix, title_from_path, snippets, render_passage, render_blocks, client_address, citation_extract, citation_invalid, uncited_sentences, citation_resolve, citation_texts, lexical_support, grounding_report, confidence_band, abstention_sentinel, context_budget_dedup, score_margin)}
@@ -161,23 +171,25 @@ SELECT doc_id, array_to_string(list_transform(string_split(s, ' '), lambda w: up
     "client_address": "SELECT DISTINCT access_id, CASE WHEN user_id IS NOT NULL AND request_id IS NOT NULL THEN request_id ELSE CAST(doc_id AS VARCHAR) END AS address FROM access_events",
     "citation_extract": f"WITH {_ANS} SELECT outcome_id, array_to_string({_NUMS}, ',') AS numbers FROM ans WHERE answer IS NOT NULL",
     "citation_invalid": f"WITH {_ANS}, {_CIT} SELECT outcome_id, array_to_string(list_sort(list_distinct(list_filter(nums, lambda n: n < 1 OR n > len(cited_doc_ids)))), ',') AS invalid FROM cv WHERE answer IS NOT NULL",
-    "uncited_sentences": f"WITH {_ANS} SELECT outcome_id, {_UNC} AS n_uncited FROM ans WHERE answer IS NOT NULL",
+    "uncited_sentences": f"WITH {_ANS}, {_CLEANED} SELECT outcome_id, {_UNC} AS n_uncited FROM cl",
+    "citation_texts": f"WITH {_ANS}, {_CLEANED} SELECT outcome_id, answer AS clean_answer FROM cl",
     "citation_resolve": f"WITH {_ANS}, {_CIT}, e AS (SELECT outcome_id, cited_doc_ids, valid[i] AS number, i FROM (SELECT *, unnest(range(1, len(valid) + 1)) AS i FROM cv)), f AS (SELECT outcome_id, number, min(i) AS i, any_value(cited_doc_ids) AS c FROM e GROUP BY 1, 2) SELECT outcome_id, CAST(row_number() OVER (PARTITION BY outcome_id ORDER BY i) AS INTEGER) AS new_number, number, c[number] AS doc_id FROM f",
     "lexical_support": f"WITH {_ANS}, {_CLAIMS} SELECT outcome_id, CAST(claim_no AS INTEGER) AS claim_no, n_targets, round(support, 3) AS support FROM sup",
     "grounding_report": f"WITH {_ANS}, {_CLAIMS} SELECT outcome_id, n_claims, n_supported, grounding, grounding >= 0.70 AS passed FROM grd",
-    "confidence_band": f"WITH {_ANS}, {_CIT}, {_CLAIMS}, x AS (SELECT outcome_id, len(list_distinct(valid)) AS nc, {_UNC} AS un FROM cv WHERE answer IS NOT NULL) SELECT outcome_id, CASE WHEN nc = 0 THEN 'LOW' WHEN grounding >= 0.9 AND un = 0 THEN 'HIGH' WHEN grounding >= 0.6 THEN 'MEDIUM' ELSE 'LOW' END AS band FROM grd JOIN x USING (outcome_id)",
-    "abstention_sentinel": f"WITH {_ANS} SELECT status, lower(regexp_replace(trim(answer), '\\.+$', '')) = lower('{SENTINEL.rstrip('.')}') OR (contains(lower(answer), lower('{SENTINEL.rstrip('.')}')) AND length(answer) < {len(SENTINEL) + 80}) AS is_sentinel, count(*) AS n FROM ans WHERE answer IS NOT NULL GROUP BY 1, 2",
+    "confidence_band": f"WITH {_ANS}, {_CLEANED}, {_CLAIMS}, x AS (SELECT outcome_id, len(ordered) AS nc, {_UNC} AS un, request_id IN (SELECT request_id FROM access_events WHERE doc_id IS NOT NULL) AS found FROM cl) SELECT outcome_id, CASE WHEN nc = 0 THEN 'LOW' WHEN grounding >= 0.9 AND un = 0 AND found THEN 'HIGH' WHEN grounding >= 0.6 THEN 'MEDIUM' ELSE 'LOW' END AS band FROM grd JOIN x USING (outcome_id)",
+    "abstention_sentinel": f"WITH {_ANS} SELECT status, trim(regexp_replace(trim(answer), '^\\.+|\\.+$', '', 'g')) = '{SENTINEL.strip('.')}' OR (contains(answer, '{SENTINEL.strip('.')}') AND length(answer) < {len(SENTINEL) + 80}) AS is_sentinel, count(*) AS n FROM ans WHERE answer IS NOT NULL GROUP BY 1, 2",
     "context_budget_dedup": f"""
 WITH RECURSIVE {ALL[5:]},
-c AS (SELECT f.request_id, f.position, f.chunk_id, {_TOK('c.content')} AS t, list_distinct(list_filter(string_split(lower({_COLL('c.content')}), ' '), lambda w: length(w) > 3)) AS w FROM fus f JOIN chunks c USING (chunk_id)),
+r AS (SELECT chunk_id, content, length({_COLL("concat_ws(chr(10), '[passage ]', 'title: ' || title, 'section: ' || section_path, 'source: ' || source_uri, 'updated: ' || strftime(k.source_updated_at, '%Y-%m-%d'), content, '[end]')")}) AS l FROM chunks k LEFT JOIN documents d USING (doc_id)),
+c AS (SELECT f.request_id, f.position, f.chunk_id, c.l, list_distinct(list_filter(string_split(lower({_COLL('c.content')}), ' '), lambda w: length(w) > 3)) AS w FROM fus f JOIN r c USING (chunk_id)),
 g AS (
   SELECT request_id, CAST(0 AS BIGINT) AS position, CAST(0 AS BIGINT) AS chunk_id, false AS took, 0 AS number, CAST(0 AS DOUBLE) AS tokens, CAST(0 AS DOUBLE) AS running, CAST([] AS VARCHAR[][]) AS kept, false AS full_up FROM (SELECT DISTINCT request_id FROM c)
   UNION ALL
   SELECT request_id, position, chunk_id, took, number + CAST(took AS INTEGER), t, running + CASE WHEN took THEN t ELSE 0 END, CASE WHEN took THEN list_append(kept, w) ELSE kept END, full_up OR (NOT dup AND NOT took)
-  FROM (SELECT g.request_id, c.position, c.chunk_id, c.t, c.w, g.number, g.running, g.kept, g.full_up,
+  FROM (SELECT g.request_id, c.position, c.chunk_id, {_COST} AS t, c.w, g.number, g.running, g.kept, g.full_up,
       len(list_filter(g.kept, lambda k: least(len(k), len(c.w)) > 0 AND len(list_intersect(k, c.w)) >= 0.85 * least(len(k), len(c.w)))) > 0 AS dup,
-      NOT g.full_up AND NOT (len(list_filter(g.kept, lambda k: least(len(k), len(c.w)) > 0 AND len(list_intersect(k, c.w)) >= 0.85 * least(len(k), len(c.w)))) > 0) AND (g.number = 0 OR g.running + c.t <= 800) AS took
+      NOT g.full_up AND NOT (len(list_filter(g.kept, lambda k: least(len(k), len(c.w)) > 0 AND len(list_intersect(k, c.w)) >= 0.85 * least(len(k), len(c.w)))) > 0) AND (g.number = 0 OR g.running + {_COST} <= 800) AS took
     FROM g JOIN c ON c.request_id = g.request_id AND c.position = g.position + 1))
 SELECT request_id, chunk_id, CAST(number AS INTEGER) AS number, CAST(tokens AS INTEGER) AS tokens, CAST(running AS INTEGER) AS running FROM g WHERE took""",
-    "score_margin": f"{ALL} SELECT request_id, round(CASE WHEN count(*) >= 4 THEN max(rrf_score) FILTER (position = 1) - max(rrf_score) FILTER (position = 4) ELSE 0 END, 9) AS margin FROM fus GROUP BY 1",
+    "score_margin": f"{ALL} SELECT request_id, round(max(rrf_score) FILTER (position = 1) - coalesce(max(rrf_score) FILTER (position = 4), 0), 9) AS margin FROM fus GROUP BY 1",
 }

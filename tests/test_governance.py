@@ -180,12 +180,32 @@ def test_bands(spark):
 def test_context_is_cut_at_the_budget_and_drops_repeats(spark):
     text = lambda w: " ".join(f"{w}{i}long" for i in range(20))
     rows = [("q", 1, 1, text("a")), ("q", 2, 2, text("a")), ("q", 3, 3, text("b")), ("q", 4, 4, text("c") * 5), ("q", 5, 5, text("d"))]
-    ranked = spark.createDataFrame(rows, "request_id string, position int, chunk_id long, content string")
+    ranked = spark.createDataFrame(rows, "request_id string, position int, chunk_id long, content string").selectExpr("*", "'T' AS document_title", "'S' AS section_path", "'u' AS source_uri", "CAST(NULL AS timestamp) AS source_updated_at")
     got = an.build_context(ranked, 120).orderBy("number").collect()
-    assert [(r.chunk_id, r.number) for r in got] == [(1, 1), (3, 2)]
+    shown = "[passage 1] title: T section: S source: u " + text("a") + " [end]"
+    assert [(r.chunk_id, r.number, r.tokens) for r in got] == [(1, 1, round(len(shown) / 3.8)), (3, 2, round(len(shown) / 3.8))]
+    assert an.build_context(ranked, 2 * got[0].tokens).count() == 2 and an.build_context(ranked, 2 * got[0].tokens - 1).count() == 1
     assert an.build_context(ranked, 1).count() == 1  # the first is kept whatever its size
 
 
+def test_a_made_up_marker_cites_nothing(spark):
+    a = outcomes(spark, [(1, "Every desk gets a new chair this spring [7]. Every lamp gets a new bulb each year [1].", [10])])
+    r = an.renumbered(a).select("clean_answer", an.uncited_count(F.col("clean_answer")).alias("n")).first()
+    assert (r.clean_answer, r.n) == ("Every desk gets a new chair this spring. Every lamp gets a new bulb each year [1].", 1)
+
+
+def test_the_flow_from_question_to_confidence(spark):
+    requests = spark.createDataFrame([("a", "how long"), ("b", "how far"), ("c", "why")], "request_id string, question string")
+    fused = spark.createDataFrame([("a", 1, 1, 0.9, 0.03), ("a", 2, 2, 0.7, 0.02), ("b", 1, 2, 0.3, 0.03)], "request_id string, position int, chunk_id long, vector_score double, rrf_score double")
+    passages = spark.createDataFrame([(1, 10, "# Leave\nEveryone gets thirty days of leave a year. More on request."), (2, 20, "Distances vary.")], "chunk_id long, doc_id long, content string").selectExpr("*", "'T' AS document_title", "'S' AS section_path", "'u' AS source_uri", "CAST(NULL AS timestamp) AS source_updated_at")
+    run = lambda **k: {r.request_id: r for r in an.answer_requests(requests, fused, passages, an.FirstPassageModel, **k).collect()}
+    got = run()
+    assert (got["a"].status, got["a"].answer, got["a"].cited_doc_ids, got["a"].n_uncited, got["a"].grounding, got["a"].confidence) == ("answered", "Everyone gets thirty days of leave a year [1].", [10], 0, 1.0, "HIGH")
+    assert (got["b"].reason, got["c"].reason, got["b"].answer, got["b"].confidence) == ("no_relevant_candidates", "no_relevant_candidates", None, None)
+    spent = run(spent=5.0, daily_budget=5.0)
+    assert (spent["a"].reason, spent["a"].prompt_tokens, spent["b"].reason) == ("budget_exhausted", None, "no_relevant_candidates")
+
+
 def test_unknown_groups_stop(spark):
     groups = spark.createDataFrame([(1, "all")], "group_id int, group_name string")
     names = spark.createDataFrame([(1, [" all", "x"]), (2, ["all", "all"])], "k int, names array<string>")
