@@ -39,12 +39,16 @@ class Similar:
     lists: int = 32
 
 
-def word_shingles(size: int = 3, least_words: int = 20) -> Callable[[], Callable[[str], np.ndarray]]:
+def word_shingles(size: int = 3, least_words: int = 20, short: bool = False) -> Callable[[], Callable[[str], np.ndarray]]:
+    """Runs of `size` words; with `short`, all the words of a text that has fewer are its one shingle."""
+
     def make():
         memo = HashMemo()
 
         def of(text: str) -> np.ndarray:
             ws = words(text)
+            if short and 0 < len(ws) < size:
+                return windows(memo.of(ws), len(ws))
             return np.unique(windows(memo.of(ws), size)) if len(ws) >= max(size, least_words) else np.empty(0, np.uint64)
 
         return of

@@ -168,6 +168,37 @@ def test_paragraph_repeats(spark):
     p = [text(r, 40, 5000) for _ in range(6)]
     near = p[0].split()
     near[-1] = "changed"
-    df = docs(spark, (1, f"{p[0]}\n\n{p[1]}\n\n# head"), (2, f"{' '.join(near)}\n \n{p[2]}"), (3, f"{p[1]}\r\n\r\n{p[1]}"), (4, None), (5, ""), (None, p[2]))
+    big = 1 << 60
+    df = docs(spark, (1, f"{p[0]}\n\n{p[1]}\n\n# head"), (2, f"{' '.join(near)}\n \n{p[2]}\n\nHead"), (big, f"{p[1]}\r\n\r\n{p[1]}"), (4, None), (5, ""), (6, "***\n\n***"), (None, p[2]))
     got = {x.doc_id: (x.n_paragraphs, x.n_repeats) for x in sp.near_duplicate_paragraphs(df).collect()}
-    assert got == {1: (2, 0), 2: (2, 1), 3: (2, 2)}
+    assert got == {1: (3, 0), 2: (3, 2), big: (2, 2), 4: (0, 0), 5: (0, 0), 6: (2, 0)}
+    assert {(x.doc_id_a, x.doc_id_b) for x in sp.paragraph_pairs(df).collect()} == {(1, 2), (1, big)}
+
+
+def test_repetitive_texts_take_time_in_proportion(spark):
+    import time
+
+    r = random.Random(9)
+    turn = noise(r, 700)
+    df = docs(spark, (1, "ab" * 400_000), (2, "ba" * 300_000 + "c"), (3, "abc" * 200_000), (4, turn * 300), (5, noise(r, 100) + turn[350:] + turn[:340]))
+    began = time.time()
+    got = {(x.doc_id_a, x.doc_id_b) for x in sp.record_pairs(*sp.shared_spans(df)).collect()}
+    assert got == {(1, 2), (4, 5)} and time.time() - began < 60
+    shares = {x.doc_id: x.shared_chars for x in sp.shared_share(df).collect()}
+    assert shares == {1: 800_000, 2: 600_000, 4: 206_310, 5: 690}
+
+
+def test_texts_that_repeat_a_crowded_mark(spark, monkeypatch):
+    monkeypatch.setattr(sp, "CROWDED", 4)
+    r = random.Random(14)
+    mark = noise(r, 340)
+    body = lambda: noise(r, 500)
+    shared = noise(r, 90)
+    c = {i: body() + mark + body() for i in range(10)}
+    # the second place of the common passage is inside a longer shared span
+    c[20] = body() + mark + body() + shared + mark + body()
+    c[21] = body() + shared + mark + body() + mark
+    w = {i: windows(t) for i, t in c.items()}
+    want = {(a, b) for a in c for b in c if a < b and w[a] & w[b]}
+    assert want == {(20, 21)}
+    assert {(x.doc_id_a, x.doc_id_b) for x in sp.record_pairs(*sp.shared_spans(docs(spark, *c.items()))).collect()} == want
