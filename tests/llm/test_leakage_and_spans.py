@@ -69,6 +69,13 @@ def test_substitutes_that_no_case_has(spark):
     assert {(x.case_id, x.doc_id) for x in got} == {("a", 1), ("a", 2), ("a", 3), ("a", 4)}
 
 
+def test_spelled_numbers_are_numbers(spark):
+    q = "every site keeps nine copies of the ledger for seven weeks before they go to the vault in the cellar"
+    c, d = cases(spark, ("a", q, None)), docs(spark, (1, q.replace("nine", "12").replace("seven", "thirty")), (2, q.replace("ledger", "nine")))
+    assert {x.doc_id for x in lk.reparameterised_leaks(d, c).collect()} == {1}
+    assert lk.verbatim_leaks(d, c).where("doc_id = 1").count() == 0
+
+
 def test_more_held_out_words_than_are_sent(spark, monkeypatch):
     monkeypatch.setattr(lk, "MAX_NAMES", 1)
     c, d = cases(spark, ("a", Q, None)), docs(spark, (1, Q), (2, Q.replace("Vinmoor", "Ostrava")))
