@@ -4,8 +4,8 @@ Vectors are normalised and equal ones made one class, of which only the least k
 On a bounded sample of the classes a balanced hierarchical clustering is fitted; its centroids and a neighbour graph
 over them stay in memory on every executor. Each class is put into its nearest list and, near a boundary, into up to
 `replicas` lists; a query searches the graph for lists and keeps those whose distance is within a ratio of the least.
-Lists are stored in blocks, so that one that holds more than its share is searched by several tasks; every block is
-scanned with one matrix product, and the best of all blocks are merged.
+Lists are stored in blocks, so that one that holds more than its share is searched by several tasks, and the queries of
+such a list are split as well; every block is scanned with one matrix product, and the best of all blocks are merged.
 
 Defined results: vectors that are null, of another length, all zero or with a null, NaN or infinite component take no
 part; equal similarities are settled by the lesser id; a repeated id counts once; fewer than k others give fewer rows;
@@ -164,8 +164,8 @@ def _flat(column: pd.Series, dim: int) -> np.ndarray:
     return np.frombuffer(b"".join(column), np.float32).reshape(-1, dim)
 
 
-def vector_classes(vectors: DataFrame, k: int, p: Lists) -> DataFrame:
-    """vectors: id, embedding. key, vec (unit float32 bytes), ids: the least k + 1 ids of each class."""
+def keyed_vectors(vectors: DataFrame, p: Lists) -> DataFrame:
+    """vectors: id, embedding. key, id, vec (unit float32 bytes) of those that take part."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -178,7 +178,12 @@ def vector_classes(vectors: DataFrame, k: int, p: Lists) -> DataFrame:
             yield pd.DataFrame({"key": [xxhash.xxh128_digest(v) for v in raw], "id": pdf["id"].to_numpy()[ok], "vec": raw})
 
     usable = vectors.where((F.size("embedding") == p.dim) & ~F.exists("embedding", lambda e: e.isNull()) & F.col("id").isNotNull())
-    keyed = usable.select("id", "embedding").mapInPandas(run, "key binary, id long, vec binary")
+    return usable.select("id", "embedding").mapInPandas(run, "key binary, id long, vec binary")
+
+
+def vector_classes(vectors: DataFrame, k: int, p: Lists) -> DataFrame:
+    """key, vec, ids: the least k + 1 ids of each class of equal vectors."""
+    keyed = keyed_vectors(vectors, p)
     # dense_rank limits every class before the shuffle, however many copies it has
     ranked = keyed.withColumn("rank", F.dense_rank().over(Window.partitionBy("key").orderBy("id"))).where(F.col("rank") <= k + 1)
     return ranked.groupBy("key").agg(F.first("vec").alias("vec"), F.sort_array(F.collect_set("id")).alias("ids"))
@@ -214,7 +219,12 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 10, p: Lists = Lists()
                 rows, lists = home_lists(g, _flat(pdf["vec"], p.dim), p)
                 picked = pdf.iloc[rows]
                 salt = np.array([int.from_bytes(v[:4], "big") for v in picked["key"]], np.int64)
-                yield pd.DataFrame({"list": lists.astype(np.int32), "block": (salt % n_blocks[lists]).astype(np.int32), "key": picked["key"].to_numpy(), "vec": picked["vec"].to_numpy(), "least": np.array([v[0] for v in picked["ids"]], np.int64)})
+                # a list of several blocks has as many parts of its queries, and every part meets every block
+                times = n_blocks[lists]
+                again = np.repeat(np.arange(len(rows)), times)
+                part = np.arange(len(again)) - np.repeat(np.cumsum(times) - times, times)
+                picked, lists, salt = picked.iloc[again], lists[again], salt[again]
+                yield pd.DataFrame({"list": lists.astype(np.int32), "block": (salt % n_blocks[lists]).astype(np.int32), "part": part.astype(np.int32), "key": picked["key"].to_numpy(), "vec": picked["vec"].to_numpy(), "least": np.array([v[0] for v in picked["ids"]], np.int64)})
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         g, n_blocks = model.value
@@ -225,7 +235,8 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 10, p: Lists = Lists()
                 again = np.repeat(np.arange(len(rows)), times)
                 block = np.arange(len(again)) - np.repeat(np.cumsum(times) - times, times)
                 picked = pdf.iloc[rows[again]]
-                yield pd.DataFrame({"list": lists[again].astype(np.int32), "block": block.astype(np.int32), "query": picked["key"].to_numpy(), "vec": picked["vec"].to_numpy()})
+                salt = np.array([int.from_bytes(v[4:8], "big") for v in picked["key"]], np.int64)
+                yield pd.DataFrame({"list": lists[again].astype(np.int32), "block": block.astype(np.int32), "part": (salt % n_blocks[lists[again]]).astype(np.int32), "query": picked["key"].to_numpy(), "vec": picked["vec"].to_numpy()})
 
     def scan(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -243,11 +254,11 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 10, p: Lists = Lists()
     asked = classes.select("key", "vec", F.explode("ids").alias("id")).join(key_of.distinct(), "id", "left_semi")
     # a query beyond the least ids of its class is found by its vector
     rest = key_of.distinct().join(asked.select("id"), "id", "left_anti")
-    late = vector_classes(vectors.join(rest, "id", "left_semi"), 1 << 30, p).select("key", F.explode("ids").alias("id"))
-    query_keys = materialise(asked.select("key", "id").unionByName(late), "vector-queries")
+    late = keyed_vectors(vectors.join(rest, "id", "left_semi"), p).select("key", "id")
+    query_keys = materialise(asked.select("key", "id").unionByName(late).distinct(), "vector-queries")
     asking = classes.join(query_keys.select("key").distinct(), "key", "left_semi")
-    postings = classes.mapInPandas(post, "list int, block int, key binary, vec binary, least long").groupBy("list", "block")
-    hits = postings.cogroup(asking.mapInPandas(ask, "list int, block int, query binary, vec binary").groupBy("list", "block")).applyInPandas(scan, "query binary, key binary, least long, similarity double")
+    postings = classes.mapInPandas(post, "list int, block int, part int, key binary, vec binary, least long").groupBy("list", "block", "part")
+    hits = postings.cogroup(asking.mapInPandas(ask, "list int, block int, part int, query binary, vec binary").groupBy("list", "block", "part")).applyInPandas(scan, "query binary, key binary, least long, similarity double")
     merged = hits.groupBy("query", "key").agg(F.max("similarity").alias("similarity"), F.min("least").alias("least"))
     best = merged.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("similarity"), "least"))).where(F.col("r") <= k + 1)
     members = classes.select("key", F.explode("ids").alias("neighbour_id"))

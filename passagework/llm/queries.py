@@ -35,7 +35,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_neighbours(spark: SparkSession, d: str) -> DataFrame:
-    """Ranked neighbours of every hundredth chunk, against all chunks."""
+    """Ranked neighbours of the chunks whose id is divisible by 100, against all chunks."""
     return _p2(spark, d, 100).withColumn("similarity", F.round("similarity", 6))
 
 
