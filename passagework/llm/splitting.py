@@ -48,6 +48,8 @@ def tokens(text: str, ratio: float = PROSE) -> int:
 PENALTY = {"block": 0.0, "line": 0.3, "sentence": 0.6, "clause": 1.5, "word": 2.5, "inside": 8.0}
 _BOUNDARY = re.compile(r"(?P<block>\n[^\S\n]*\n\s*)|(?P<line>\n\s*)|(?<=[.!?])(?P<sentence>\s+)|(?<=[,;:])(?P<clause>\s+)|(?P<word>\s+)")
 _GRID = 80
+#: Characters by which an overlap may be longer than specified in order to begin at a word.
+_WORD = 40
 
 
 def boundaries(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -68,25 +70,27 @@ def boundaries(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def cut(text: str, room: int, overlap: int) -> list[tuple[int, int, int]]:
-    """(start, body start, end) of each piece: text[body start:end] are consecutive and cover the text; start is the
-    body start less the overlap, moved right to a boundary. No piece has more than `room` normalised characters."""
+    """(start, body start, end) of each piece: text[body start:end] are consecutive and cover the text; start is where
+    the piece overlaps the one before by `overlap` characters, moved left to the word's beginning. No piece has more than `room` normalised characters."""
     blank = np.fromiter((c.isspace() for c in text), bool, len(text))
     used = np.concatenate([[0], np.cumsum(~(blank & np.concatenate([[False], blank[:-1]])))])
     at, cost = boundaries(text)
     n = used[at]
     # where a piece that follows a cut starts
-    lead = np.searchsorted(n, n - overlap, "left")
-    lead = np.minimum(lead, np.arange(len(at)))
-    lead[0] = 0
+    exact = np.maximum(0, np.searchsorted(used, np.maximum(n - overlap, 0), "right") - 1)
+    natural = at[cost < PENALTY["inside"]]
+    word = natural[np.searchsorted(natural, exact, "right") - 1]
+    start = np.where(used[exact] - used[word] <= _WORD, word, exact)
+    lead = used[start]  # it never falls from one boundary to the next
     even = n[-1] / max(1, int(np.ceil((n[-1] - overlap) / max(1, room - overlap)))) if n[-1] > room else n[-1]
     best, prev = np.full(len(at), np.inf), np.zeros(len(at), int)
     best[0] = 0.0
     lo = 0
     for j in range(1, len(at)):
-        while n[j] - n[lead[lo]] > room:
+        while n[j] - lead[lo] > room:
             lo += 1
         i = np.arange(lo, j)
-        # n[lead] never falls, so what fits is a suffix of the earlier boundaries
+        # so what fits is a suffix of the earlier boundaries
         total = best[i] + ((n[j] - n[i] - even) / room) ** 2 * 4
         k = int(np.argmin(total))
         best[j], prev[j] = total[k] + cost[j], i[k]
@@ -96,7 +100,7 @@ def cut(text: str, room: int, overlap: int) -> list[tuple[int, int, int]]:
         j = int(prev[j])
     out, i = [], 0
     for j in reversed(ends):
-        out.append((int(at[lead[i]]), int(at[i]), int(at[j])))
+        out.append((int(start[i]), int(at[i]), int(at[j])))
         i = j
     return out
 
