@@ -16,6 +16,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from passagework.workspace import drop_path, new_path
 
@@ -53,6 +54,7 @@ class Listing:
     value: Column
 
     def rows(self) -> DataFrame:
+        """source, record_key, arrived, value, snapshot_no in canonical form."""
         null = F.lit(NULL_KEY)
         return self.table.where(F.col(self.number).isNotNull()).select(
             F.col(self.number).cast("int").alias("snapshot_no"),
@@ -63,6 +65,15 @@ class Listing:
         )
 
 
+def by_snapshot(listing: Listing, label: str) -> DataFrame:
+    """The rows written once in a folder per snapshot, so that a step reads its own snapshot and no other."""
+    spark, path = listing.table.sparkSession, new_path(listing.table.sparkSession, f"{label}-rows")
+    rows = listing.rows()
+    rows.write.partitionBy("snapshot_no").parquet(path)
+    columns = [f for f in rows.schema if f.name != "snapshot_no"] + [rows.schema["snapshot_no"]]
+    return spark.read.schema(StructType(columns)).parquet(path)
+
+
 def _latest(rows: DataFrame) -> DataFrame:
     """One row per record: the last to arrive. max() over a struct is combined before the shuffle, so that a record
     repeated very often costs one row per map task."""
@@ -117,15 +128,20 @@ class SnapshotIndex:
 
 
 def snapshot_numbers(rows: DataFrame) -> list[int]:
-    """The deliveries in order. There is one number per delivery, however many rows it has."""
+    """The deliveries in order. There is one number per delivery, however many rows it has; in a table written by_snapshot()
+    the names of the folders tell them."""
     return [r[0] for r in rows.select("snapshot_no").distinct().orderBy("snapshot_no").collect()]
 
 
 def snapshot_changes(listing: Listing, label: str) -> DataFrame:
     """source, record_key, snapshot_no, change_kind over all consecutive snapshots of each source. A source without
     rows in a snapshot keeps its index entries, so that its next delivery is compared with its last one."""
-    rows = listing.rows()
-    spark, parts = listing.table.sparkSession, []
+    return changes_of(by_snapshot(listing, label), label)
+
+
+def changes_of(rows: DataFrame, label: str) -> DataFrame:
+    """As snapshot_changes(), over rows written by_snapshot()."""
+    spark, parts = rows.sparkSession, []
     index = SnapshotIndex(spark, label)
     for number in snapshot_numbers(rows):
         parts.append(index.advance(number, rows.where(F.col("snapshot_no") == number)))
@@ -139,9 +155,9 @@ def snapshot_changes(listing: Listing, label: str) -> DataFrame:
     return out.select(back("source"), back("record_key"), "snapshot_no", F.col("state").alias("change_kind"))
 
 
-def with_values(listing: Listing, changes: DataFrame) -> DataFrame:
-    """Adds old_value and new_value: only rows of changed records are fetched, as of the two listings compared."""
-    rows = listing.rows()
+def with_values(rows: DataFrame, changes: DataFrame) -> DataFrame:
+    """Adds old_value and new_value: only rows of changed records are fetched, as of the two listings compared. rows: as
+    written by_snapshot()."""
     per = rows.groupBy("source", "snapshot_no").agg(F.lit(1).alias("n")).drop("n")
     order = per.join(per.select("source", F.col("snapshot_no").alias("prior")), "source").where("prior < snapshot_no").groupBy("source", "snapshot_no").agg(F.max("prior").alias("prior"))
     null = F.lit(NULL_KEY)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passagework.operators.snapshots import Listing, canonical_revision, canonical_status, canonical_uri, snapshot_changes, with_values
+from passagework.operators.snapshots import Listing, by_snapshot, canonical_revision, canonical_status, canonical_uri, changes_of, snapshot_changes, with_values
 from passagework.workspace import table
 
 
@@ -24,14 +24,14 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p3_changed_values(spark: SparkSession, d: str) -> DataFrame:
     """The changes of source_snapshots with the compared revisions."""
-    listing = source_listing(spark, d)
-    return with_values(listing, snapshot_changes(listing, "source")).withColumnRenamed("record_key", "source_uri")
+    rows = by_snapshot(source_listing(spark, d), "source")
+    return with_values(rows, changes_of(rows, "source")).withColumnRenamed("record_key", "source_uri")
 
 
 def p3_changed_statuses(spark: SparkSession, d: str) -> DataFrame:
     """The changes of sync_outcomes with the compared statuses."""
-    listing = outcome_listing(spark, d)
-    return with_values(listing, snapshot_changes(listing, "outcome")).withColumnRenamed("record_key", "source_uri")
+    rows = by_snapshot(outcome_listing(spark, d), "outcome")
+    return with_values(rows, changes_of(rows, "outcome")).withColumnRenamed("record_key", "source_uri")
 
 
 _URI = r"""regexp_replace(regexp_replace(lower(regexp_replace(url_decode(replace(source_uri, '+', '%2B')), '^[\s\x{00A0}]+|[\s\x{00A0}]+$', '', 'g')), '/{2,}', '/', 'g'), '^(\./)+|/$', '', 'g')"""

@@ -2,7 +2,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from passagework.operators.snapshots import Listing, canonical_revision, canonical_uri, snapshot_changes, with_values
+from passagework.operators.snapshots import Listing, canonical_revision, canonical_uri, by_snapshot, snapshot_changes, with_values
 from passagework.plans.snapshot_queries import p3_changed_statuses
 
 SCHEMA = "n int, source string, uri string, revision string, at timestamp, snapshot_no string, value string"
@@ -61,7 +61,7 @@ def test_empty(spark):
 def test_old_values_are_fetched_for_changes(spark):
     rows = [(1, "s", "a", "1", T(1)), (1, "s", "b", "1", T(1)), (2, "s", "a", "2", T(1)), (2, "s", "b", "1", T(1)), (3, "s", "b", None, T(1))]
     li = listing(spark, rows)
-    got = {(r.record_key, r.snapshot_no, r.change_kind, r.old_value, r.new_value) for r in with_values(li, snapshot_changes(li, "test")).collect()}
+    got = {(r.record_key, r.snapshot_no, r.change_kind, r.old_value, r.new_value) for r in with_values(by_snapshot(li, "test"), snapshot_changes(li, "test")).collect()}
     assert got == {("a", 2, "changed", "1", "2"), ("a", 3, "removed", "2", None), ("b", 3, "changed", "1", None)}
 
 
