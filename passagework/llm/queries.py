@@ -39,7 +39,7 @@ def p2_neighbours(spark: SparkSession, d: str) -> DataFrame:
     return _p2(spark, d, 100).withColumn("similarity", F.round("similarity", 6))
 
 
-CHUNKS = neardup.Similar(threshold=700, rows=4, lists=32)
+CHUNKS = neardup.Similar(threshold=700)
 TITLES = neardup.Similar(threshold=700, rows=5, lists=48)
 
 

@@ -210,7 +210,7 @@ def shared_share(documents: DataFrame, span: int = SPAN, shingle: int = SHINGLE)
     return full.where("copied or part is not null").select("doc_id", F.col("n_chars").cast("long").alias("n_chars"), covered.cast("long").alias("shared_chars"))
 
 
-#: Word shingles of five and a similarity of 0.8; 1 - (1 - 0.8**5)**28 = 0.99998 of the pairs at the threshold collide.
+#: Word shingles of five and a similarity of 0.8 in bands of five; 1 - (1 - 0.8**5)**28 = 0.99998 of the pairs at it collide.
 PARAGRAPHS = Similar(threshold=800, rows=5, lists=28)
 
 

@@ -6,7 +6,8 @@ from passagework.llm import neardup as nd
 from passagework.llm.components import components
 from passagework.llm.words import words
 
-HOW = nd.Similar(700, 4, 32)
+HOW = nd.Similar(700)
+GROUPS = nd.Similar(700, 4, 32)
 
 
 def sets(text, n):
@@ -46,6 +47,34 @@ def test_words_against_brute_force(spark):
         texts[n] = ("  ".join if n % 2 else " ".join)(x.upper() if n % 5 == 0 else x for x in w)
     want = brute(texts)
     assert len(want) > 200 and pairs(spark, texts, nd.word_shingles(3, 20), HOW) == want
+    assert pairs(spark, texts, nd.word_shingles(3, 20), GROUPS) == want
+
+
+def test_long_lists_are_salted_and_lose_nothing(spark, monkeypatch):
+    monkeypatch.setattr(nd, "HOT", 8)
+    monkeypatch.setattr(nd, "SAMPLE", 2)
+    r = random.Random(7)
+    base = [f"w{i}" for i in range(40)]
+    texts = {n: " ".join(edited(r, base, r.choice([1, 2, 3]))) for n in range(120)}
+    want = brute(texts)
+    assert len(want) > 1000 and pairs(spark, texts, nd.word_shingles(3, 20), HOW) == want
+
+
+def test_similar_sets_share_a_retained_value():
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    level = r.integers(0, 9, 4000).astype(np.uint8)
+    met = 0
+    for _ in range(2000):
+        n, t = int(r.integers(1, 60)), int(r.choice([500, 700, 800, 950]))
+        a = r.choice(4000, n, replace=False)
+        b = np.unique(np.concatenate([a[r.random(n) < 0.9], r.choice(4000, int(r.integers(0, 6)))]))
+        if len(np.intersect1d(a, b)) * 1000 >= t * len(np.union1d(a, b)):
+            keep = lambda x: set(np.sort(x)[nd.retained(np.sort(x), level[np.sort(x)], t)].tolist())
+            assert keep(a) & keep(b)
+            met += 1
+    assert met > 300
 
 
 def test_titles_against_brute_force(spark):
