@@ -164,8 +164,8 @@ def _salted(posted: DataFrame) -> tuple[DataFrame, DataFrame]:
     seen = posted.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLE)) == 0).groupBy("key").agg(F.count(F.lit(1)).alias("seen"))
     hot = materialise(seen.where(F.col("seen") * SAMPLE >= HOT).select("key", F.ceil(F.col("seen") * SAMPLE / HOT).cast("int").alias("parts")), "near-hot")
     parted = posted.withColumn("parts", F.lit(1)) if hot.isEmpty() else posted.join(hot, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    side = lambda x, salt: parted.select("key", salt.cast("int").alias("salt"), *(F.col(c).alias(f"{c}{x}") for c in ("n", "p0", "p1")), F.col("id").alias(x))
-    return side("a", F.pmod(F.xxhash64("id"), F.col("parts"))), side("b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    side = lambda x, salt: parted.select("key", salt.alias("salt"), *(F.col(c).alias(f"{c}{x}") for c in ("n", "p0", "p1")), F.col("id").alias(x))
+    return side("a", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")), side("b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
 
 
 def similar_classes(records: DataFrame, shingles, how: Similar) -> tuple[DataFrame, DataFrame]:
