@@ -1,15 +1,15 @@
 """Near-duplicate records with small edits.
 
-One 64-bit hash function turns a record into the sorted set of its shingle hashes. Candidates come from inverted lists of
-retained values: of n values a record retains the bottom n - ceil(t n) + 1 in an order in which values that many records
-have come last and the hash settles the rest, so that any two records of similarity t share a retained value, for certain.
-How common a value is, is counted over all records in a million buckets. A list of more than about HOT records is spread over salts.
-Parity bits that travel with the lists and then the union of two bottom-k sketches of the same hash, which estimates the
-similarity, filter; exact Jaccard of the full sets verifies. The estimate turns away 3 in a million pairs at the threshold,
-and none of records with at most BOTTOM_K values.
-
-Where there are few different shingles, as with three-character substrings, no value is rare and such lists are too long
-(the README has figures): there a list is kept per group of `rows` values retained together under each of `lists` odd
+One 64-bit hash function turns a record into the sorted set of its shingle hashes; the bottom BOTTOM_K of them are its
+sketch, the retained values. Lists of single values grow with the square of the table where shingles are common (the
+README has figures), so a list is kept per run of four values that follow each other in the sketch: two sketches of
+similar records are mostly the same values, and where four of them follow each other in both, they meet. Records of few
+values retain all and have shorter runs, for which this is certain. Candidates are filtered by parity bits that travel
+with the lists and then by the union of two sketches, which estimates the similarity; exact Jaccard of the full sets
+verifies. A list of more than about HOT records is spread over salts. Of pairs at the threshold, runs miss about one in
+ten thousand and the estimate turns away 3 in a million, and none of records with at most BOTTOM_K values.
+
+Where there are few different shingles, as with three-character substrings, runs are too long lists as well: there a list is kept per group of `rows` values retained together under each of `lists` odd
 multipliers of the hash; two records share one with probability 1 - (1 - s**rows)**lists, 0.9998 at the threshold.
 
 Defined results: null texts, texts under the least size and rows without an id are in no pair; records with equal shingle sets are one
@@ -32,18 +32,19 @@ from passagework.llm.words import HashMemo, codes, mix, signed, windows, words
 from passagework.workspace import materialise
 
 BOTTOM_K = 64
-BUCKETS = 1 << 20
+#: (values to a run, most values of the smaller record): from the first tier that holds the smaller of two records.
+RUNS = ((1, 6), (2, 12), (3, 40), (4, 1 << 62))
 #: Records to a salt of a list, and one record in so many of the sample that tells which lists are long.
 HOT, SAMPLE = 2048, 64
 
 
 @dataclass(frozen=True)
 class Similar:
-    """threshold in thousandths. rows: values to a list, 0 for lists of single values, rare ones first; else `lists` is the
-    number of lists to a record."""
+    """threshold in thousandths. lists: 0 for a list per run of retained values; else that many lists to a record, under as
+    many multipliers, each of the bottom `rows` values."""
 
     threshold: int = 700
-    rows: int = 0
+    rows: int = 4
     lists: int = 0
 
 
@@ -101,58 +102,36 @@ def parity(h: np.ndarray) -> np.ndarray:
     return np.packbits((np.bincount((h >> np.uint64(57)).astype(np.int64), minlength=128) & 1).astype(np.uint8)).view(np.int64)
 
 
-FEATURES = "id long, set_key binary, n int, p0 long, p1 long, shingles array<long>"
-POSTED = "id long, n int, p0 long, p1 long, key long"
+def run_keys(s: np.ndarray, threshold: int) -> np.ndarray:
+    """The lists of one record, of its hashes in order: runs of as many values as its size, and that of a similar record
+    that may be smaller, ask for."""
+    sketch, out, lowest = s[:BOTTOM_K].view(np.uint64), [], 0
+    for length, most in RUNS:
+        if lowest < len(s) <= most * 1000 // threshold:
+            k = np.full(len(sketch) - length + 1, length, np.uint64)
+            for j in range(length):
+                k = k * np.uint64(0x9E3779B97F4A7C15) + sketch[j : j + len(k)]
+            out.append(mix(k))
+        lowest = most
+    return np.concatenate(out)
+
 
+FEATURES = "id long, set_key binary, n int, p0 long, p1 long, shingles array<long>, lists array<long>"
 
-def _features(make: Callable[[], Callable[[str], np.ndarray]]):
+
+def _features(make: Callable[[], Callable[[str], np.ndarray]], how: Similar):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         of = make()
+        multipliers = np.random.default_rng(20).integers(0, 1 << 63, how.lists).astype(np.uint64) * np.uint64(2) + np.uint64(1)
         for pdf in batches:
             out = []
             for i, text in zip(pdf["id"], pdf["body"]):
                 h = of(text)
                 if len(h):
                     s = np.sort(signed(h))
-                    out.append((i, xxhash.xxh128_digest(s.tobytes()), len(s), *parity(h), s))
-            yield pd.DataFrame(out, columns=["id", "set_key", "n", "p0", "p1", "shingles"]).astype({"id": "int64", "n": "int32", "p0": "int64", "p1": "int64"})
-
-    return run
-
-
-def commonness(sets: DataFrame) -> np.ndarray:
-    """Per bucket of values, the power of two that its count over all records reaches. Counts are combined before the
-    shuffle and are as many as there are buckets, however large the table is."""
-    bucket = F.pmod(F.col("v"), F.lit(BUCKETS)).cast("int").alias("bucket")
-    counts = sets.select(F.explode("shingles").alias("v")).groupBy(bucket).agg(F.count(F.lit(1)).alias("n")).toPandas()
-    out = np.zeros(BUCKETS, np.uint8)
-    out[counts["bucket"]] = np.log2(counts["n"]).astype(np.uint8)
-    return out
-
-
-def retained(values: np.ndarray, level: np.ndarray, threshold: int) -> np.ndarray:
-    """Places of the values that a record retains: two sets of similarity t or more cannot have all their common values
-    beyond the first n - ceil(t n) + 1 of each, in whatever order both are put."""
-    n = len(values)
-    keep = n - -(-n * threshold // 1000) + 1
-    return np.lexsort((values, level))[:keep]
-
-
-def _lists(common, how: Similar):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table = common.value if common is not None else None
-        multipliers = np.random.default_rng(20).integers(0, 1 << 63, how.lists).astype(np.uint64) * np.uint64(2) + np.uint64(1)
-        for pdf in batches:
-            keys = []
-            for s in pdf["shingles"]:
-                s = np.asarray(s, np.int64)
-                if table is None:
-                    keys.append(signed(list_keys(s.view(np.uint64), how.rows, multipliers)))
-                else:
-                    keys.append(s[retained(s, table[s & (BUCKETS - 1)], how.threshold)])
-            if keys:
-                rows = np.repeat(np.arange(len(pdf)), [len(k) for k in keys])
-                yield pd.DataFrame({c: pdf[c].to_numpy()[rows] for c in ("id", "n", "p0", "p1")} | {"key": np.concatenate(keys)})
+                    keys = list_keys(h, how.rows, multipliers) if how.lists else run_keys(s, how.threshold)
+                    out.append((i, xxhash.xxh128_digest(s.tobytes()), len(s), *parity(h), s, signed(keys)))
+            yield pd.DataFrame(out, columns=["id", "set_key", "n", "p0", "p1", "shingles", "lists"]).astype({"id": "int64", "n": "int32", "p0": "int64", "p1": "int64"})
 
     return run
 
@@ -171,15 +150,13 @@ def _salted(posted: DataFrame) -> tuple[DataFrame, DataFrame]:
 def similar_classes(records: DataFrame, shingles, how: Similar) -> tuple[DataFrame, DataFrame]:
     """records: id, body. Returns links and members. links: a < b, similarity: the pairs of classes at or over the
     threshold. members: id, class_id: records with equal shingle sets, class_id the least of their ids."""
-    made = materialise(records.where("body is not null and id is not null").select("id", "body").mapInPandas(_features(shingles), FEATURES), "near-features")
+    made = materialise(records.where("body is not null and id is not null").select("id", "body").mapInPandas(_features(shingles, how), FEATURES), "near-features")
     least = made.groupBy("set_key").agg(F.min("id").alias("class_id"))
     members = materialise(made.select("id", "set_key").distinct().join(least, "set_key").select("id", "class_id"), "near-members")
     # written, these small sides have a known size, and the planner need not shuffle the features to meet them
     copies = materialise(members.where("id <> class_id").select("id").distinct(), "near-copies")
     own = made.join(copies, "id", "left_anti")
-    common = records.sparkSession.sparkContext.broadcast(commonness(own)) if how.rows == 0 else None
-    posted = own.select("id", "n", "p0", "p1", "shingles").mapInPandas(_lists(common, how), POSTED)
-    posted = materialise(posted, "near-posted")
+    posted = own.select("id", "n", "p0", "p1", F.explode("lists").alias("key"))
     a, b = _salted(posted)
     fits = (F.col("na") * 1000 >= F.col("nb") * how.threshold) & (F.col("nb") * 1000 >= F.col("na") * how.threshold)
     # records that differ in more bits than the threshold leaves values to differ in are not similar: no pair is lost

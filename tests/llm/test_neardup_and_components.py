@@ -60,21 +60,20 @@ def test_long_lists_are_salted_and_lose_nothing(spark, monkeypatch):
     assert len(want) > 1000 and pairs(spark, texts, nd.word_shingles(3, 20), HOW) == want
 
 
-def test_similar_sets_share_a_retained_value():
+def test_similar_sets_share_a_run():
     import numpy as np
 
     r = np.random.default_rng(3)
-    level = r.integers(0, 9, 4000).astype(np.uint8)
-    met = 0
-    for _ in range(2000):
-        n, t = int(r.integers(1, 60)), int(r.choice([500, 700, 800, 950]))
-        a = r.choice(4000, n, replace=False)
-        b = np.unique(np.concatenate([a[r.random(n) < 0.9], r.choice(4000, int(r.integers(0, 6)))]))
-        if len(np.intersect1d(a, b)) * 1000 >= t * len(np.union1d(a, b)):
-            keep = lambda x: set(np.sort(x)[nd.retained(np.sort(x), level[np.sort(x)], t)].tolist())
-            assert keep(a) & keep(b)
-            met += 1
-    assert met > 300
+    missed = met = 0
+    for _ in range(30_000):
+        n = int(r.choice([3, 5, 7, 12, 13, 18, 30, 41, 57, 64, 120, 400]))
+        common = -(-7 * n // 10)
+        a, b = (r.integers(-(1 << 63), 1 << 63, k) for k in ((n - common) // 2, n - common - (n - common) // 2))
+        both = r.integers(-(1 << 63), 1 << 63, common)
+        x, y = (np.sort(np.concatenate([both, z])) for z in (a, b))  # at the threshold, or just over it
+        met += 1
+        missed += not len(np.intersect1d(nd.run_keys(x, 700), nd.run_keys(y, 700)))
+    assert missed <= met * 3e-4, (missed, met)
 
 
 def test_titles_against_brute_force(spark):
