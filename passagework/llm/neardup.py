@@ -136,15 +136,23 @@ def _features(make: Callable[[], Callable[[str], np.ndarray]], how: Similar):
     return run
 
 
-def _salted(posted: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The two sides of the lists' join. Lists that a sample of one record in SAMPLE shows to be long are spread over salts:
+def _meeting(posted: DataFrame) -> DataFrame:
+    """a < b of records in one list, with what travels with them. Lists that a sample of one record in SAMPLE shows to be long are spread over salts:
     a record is in one of them as the first of a pair and in all as the second. How many there are changes the tasks, not
     the pairs."""
     seen = posted.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLE)) == 0).groupBy("key").agg(F.count(F.lit(1)).alias("seen"))
     hot = materialise(seen.where(F.col("seen") * SAMPLE >= HOT).select("key", F.ceil(F.col("seen") * SAMPLE / HOT).cast("int").alias("parts")), "near-hot")
-    parted = posted.withColumn("parts", F.lit(1)) if hot.isEmpty() else posted.join(hot, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    side = lambda x, salt: parted.select("key", salt.alias("salt"), *(F.col(c).alias(f"{c}{x}") for c in ("n", "p0", "p1")), F.col("id").alias(x))
-    return side("a", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")), side("b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    side = lambda df, x: df.select("key", *(F.col(c).alias(f"{c}{x}") for c in ("n", "p0", "p1")), F.col("id").alias(x))
+    # both sides of the others are one and the same shuffle
+    cold = posted if hot.isEmpty() else posted.join(hot.select("key"), "key", "left_anti")
+    met = side(cold, "a").join(side(cold, "b"), "key").where(F.col("a") < F.col("b"))
+    if cold is posted:
+        return met
+    few = posted.join(hot, "key")
+    one, each = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    # the hash of the salt joins the key, so that the sides keep their columns
+    salted = lambda salt: few.select("id", "n", "p0", "p1", "key", salt.alias("salt")).withColumn("key", F.xxhash64("key", "salt"))
+    return met.unionByName(side(salted(one), "a").join(side(salted(each), "b"), "key").where(F.col("a") < F.col("b")))
 
 
 def similar_classes(records: DataFrame, shingles, how: Similar) -> tuple[DataFrame, DataFrame]:
@@ -157,12 +165,11 @@ def similar_classes(records: DataFrame, shingles, how: Similar) -> tuple[DataFra
     copies = materialise(members.where("id <> class_id").select("id").distinct(), "near-copies")
     own = made.join(copies, "id", "left_anti")
     posted = own.select("id", "n", "p0", "p1", F.explode("lists").alias("key"))
-    a, b = _salted(posted)
     fits = (F.col("na") * 1000 >= F.col("nb") * how.threshold) & (F.col("nb") * 1000 >= F.col("na") * how.threshold)
     # records that differ in more bits than the threshold leaves values to differ in are not similar: no pair is lost
     differ = sum(F.bit_count(F.col(f"{c}a").bitwiseXOR(F.col(f"{c}b"))) for c in ("p0", "p1"))
     fits = fits & (differ * (1000 + how.threshold) <= (F.col("na") + F.col("nb")) * (1000 - how.threshold))
-    met = materialise(a.join(b, ["key", "salt"]).where(F.col("a") < F.col("b")).where(fits).select("a", "b").distinct(), "near-met")
+    met = materialise(_meeting(posted).where(fits).select("a", "b").distinct(), "near-met")
     used = materialise(met.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "near-used")
     sets = made.join(used, "id", "left_semi").dropDuplicates(["id"])
     side = lambda x: sets.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("shingles").alias(f"s{x}"))
