@@ -4,7 +4,8 @@ Documents are measured with a public tokenizer; those over the capacity become p
 shards by hash, so that no source or copy makes a shard large. In a shard every source has a queue; deficit round-robin
 fills one window of sequences after the other: each source may take its share of the window plus the deficit it
 carries. What a window takes is placed best fit, longest first, into sequences that stay open across windows. The
-deficit with which a shard begins is what all shards before it left, known from their totals alone.
+deficit with which a shard begins is what all shards before it left, known from their totals alone; under a given target,
+which the corpus need not have, shards begin even.
 
 Defined results: null and empty texts are items of no token, placed like any other, so that every document is
 assigned; a null source is a source and a null id an id; repeated rows are items of their own, told apart by `copy_no`; an empty table gives
@@ -37,6 +38,7 @@ class Packing:
     window: int = 64  # sequences to a round of the queues
     shard_tokens: int = 4_000_000
     shares: dict[str, float] | None = field(default=None, hash=False)  # target shares of tokens; None: as in the corpus
+    temper: float | None = None  # without `shares`: target shares in proportion to the corpus' raised to this power
     tokenizer: str = TOKENIZER
 
 
@@ -72,6 +74,8 @@ def target_shares(items: DataFrame, p: Packing) -> DataFrame:
     """source, share."""
     held = items.groupBy("source").agg(F.sum("n_tokens").alias("tokens"))
     if p.shares is None:
+        if p.temper is not None:
+            held = held.withColumn("tokens", F.pow(F.col("tokens").cast("double"), F.lit(p.temper)))
         total = F.sum("tokens").over(Window.partitionBy())  # one row per source
         return held.select("source", F.when(total > 0, F.col("tokens") / total).otherwise(0.0).alias("share"))
     spark = items.sparkSession
@@ -162,9 +166,12 @@ def pack(documents: DataFrame, p: Packing = Packing()) -> DataFrame:
     all_before = held.groupBy("shard").agg(F.sum("tokens").alias("t")).select("shard", F.coalesce(F.sum("t").over(earlier()), F.lit(0)).alias("all_before"))
     given = held.withColumn("given", F.coalesce(F.sum("tokens").over(earlier("source")), F.lit(0)))
     key = F.coalesce("source", F.lit(NULL_SOURCE)).alias("key")
-    natural = target_shares(items, replace(p, shares=None)).select(key, F.col("share").alias("natural"))
+    natural = target_shares(items, replace(p, shares=None, temper=None)).select(key, F.col("share").alias("natural"))
     owed = given.join(all_before, "shard").select("shard", key, "all_before", "given").join(shares.select(key, "share"), "key").join(natural, "key")
-    carry = owed.select(F.col("shard").alias("of_shard"), F.col("key").alias("source"), "share", (F.col("natural") * F.col("all_before") - F.col("given")).alias("carry"))
+    # a given target is kept by the windows of every shard until a source runs dry there; nothing is owed beyond that
+    given_target = p.shares is not None or p.temper is not None
+    carried = F.lit(0.0) if given_target else F.col("natural") * F.col("all_before") - F.col("given")
+    carry = owed.select(F.col("shard").alias("of_shard"), F.col("key").alias("source"), "share", carried.alias("carry"))
     return placed.groupBy("shard").cogroup(carry.groupBy("of_shard")).applyInPandas(_pack(p), OUT)
 
 
@@ -172,3 +179,26 @@ def fill_report(packed: DataFrame, capacity: int = 2048) -> DataFrame:
     """n_sequences, n_items, n_tokens, unused_share, largest_sequence."""
     per = packed.groupBy("shard", "sequence_no").agg(F.sum("n_tokens").alias("used"), F.count(F.lit(1)).alias("n"))
     return per.agg(F.count(F.lit(1)).alias("n_sequences"), F.sum("n").alias("n_items"), F.sum("used").alias("n_tokens"), F.round(1 - F.sum("used") / (F.count(F.lit(1)) * capacity), 6).alias("unused_share"), F.max("used").alias("largest_sequence"))
+
+
+def mixture_report(packed: DataFrame, shares: DataFrame) -> DataFrame:
+    """source, target_share, served_share, n_windows, worst_deviation: how well the windows keep to the target while every
+    source of their shard still has items. worst_deviation: over all counts of windows from a shard's first, the largest
+    difference between what the source got and its share, as a part of one window's tokens."""
+    key = F.coalesce("source", F.lit(NULL_SOURCE)).alias("source")
+    target = shares.select(key, "share").where("share > 0")
+    per = packed.groupBy("shard", "window_no", key).agg(F.sum("n_tokens").alias("tokens")).join(target, "source")
+    per = materialise(per, "mixture-windows")
+    dry = per.groupBy("shard", "source").agg(F.max("window_no").alias("last")).groupBy("shard").agg(F.min("last").alias("dry"))
+    full = per.join(dry, "shard").where("window_no < dry")
+    # what all sources got up to a window, beside what this one got; a source that a window leaves out is met at its next
+    all_ = full.groupBy("shard", "window_no").agg(F.sum("tokens").alias("all"))
+    up_to = lambda *keys: Window.partitionBy(*keys).orderBy("window_no")
+    all_ = all_.withColumn("all_so_far", F.sum("all").over(up_to("shard")))
+    mine = full.withColumn("so_far", F.sum("tokens").over(up_to("shard", "source"))).join(all_, ["shard", "window_no"])
+    off = F.abs(F.col("so_far") - F.col("share") * F.col("all_so_far")) / F.col("all")
+    by_source = mine.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("n_windows"), F.round(F.max(off), 4).alias("worst_deviation"))
+    whole = F.sum("tokens").over(Window.partitionBy())  # one row per source
+    served = by_source.select("source", F.round(F.col("tokens") / whole, 6).alias("served_share"), "n_windows", "worst_deviation")
+    out = target.join(served, "source", "left")
+    return out.select(F.when(F.col("source") != NULL_SOURCE, F.col("source")).alias("source"), F.round("share", 6).alias("target_share"), "served_share", F.coalesce("n_windows", F.lit(0)).cast("long").alias("n_windows"), "worst_deviation")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from passagework.llm import leakage, neardup, neighbours, packing, pii, spans, splitting
@@ -90,6 +90,32 @@ def p6_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill_report(p6_packing(spark, d))
 
 
+MIXTURE = packing.Packing(temper=0.5, window=16)
+
+
+def p6_mixture(spark: SparkSession, d: str) -> DataFrame:
+    """How well windows keep to shares in proportion to the square root of each source's tokens."""
+    documents = table(spark, d, "documents").select("doc_id", "source", "text")
+    items = materialise(packing.measured_items(documents, MIXTURE), "mixture-items")
+    return packing.mixture_report(packing.pack(documents, MIXTURE), packing.target_shares(items, MIXTURE))
+
+
+def p6_assigned(spark: SparkSession, d: str) -> DataFrame:
+    """doc_id, n_rows, whole: every document is assigned once, in pieces that follow each other; no sequence is over full."""
+    packed = materialise(p6_packing(spark, d), "assigned")
+    used = packed.groupBy("shard", "sequence_no").agg((F.sum("n_tokens") <= 2048).alias("fits"))
+    each = packed.join(used, ["shard", "sequence_no"])
+    return each.groupBy("doc_id").agg(F.count_distinct("copy_no").alias("n_rows"), (F.bool_and("fits") & (F.max("piece_no") + 1 == F.count_distinct("piece_no")) & (F.min("token_start") == 0)).alias("whole"))
+
+
+def p5_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """Each cut item: the characters its pieces cover, and whether they follow each other and are under the limit."""
+    pieces = p5_pieces(spark, d)
+    w = Window.partitionBy("record_kind", "doc_id", "item_no", "trail").orderBy("piece_no")
+    joined = pieces.withColumn("follows", F.coalesce(F.lag("end_pos").over(w) + 1 == F.col("body_pos"), F.col("body_pos") == 1))
+    return joined.groupBy("record_kind", "doc_id", "item_no").agg(F.sum(F.col("end_pos") - F.col("body_pos") + 1).cast("long").alias("n_chars"), F.bool_and(F.col("follows") & (F.col("n_tokens") <= 700)).alias("sound"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.verbatim_leaks(table(spark, d, "documents"), table(spark, d, "eval_cases")).select("case_id", "doc_id")
 
@@ -110,4 +136,4 @@ def p8_paragraph_repeats(spark: SparkSession, d: str) -> DataFrame:
     return spans.near_duplicate_paragraphs(table(spark, d, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_redacted": p1_redacted, "p2_found": p2_found, "p2_neighbours": p2_neighbours, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_packing": p6_packing, "p6_fill": p6_fill, "p7_found": p7_found, "p7_reparameterised": p7_reparameterised, "p8_found": p8_found, "p8_shared_share": p8_shared_share, "p8_paragraph_repeats": p8_paragraph_repeats}
+QUERIES = {"p1_found": p1_found, "p1_redacted": p1_redacted, "p2_found": p2_found, "p2_neighbours": p2_neighbours, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_pieces": p5_pieces, "p5_coverage": p5_coverage, "p6_packing": p6_packing, "p6_fill": p6_fill, "p6_mixture": p6_mixture, "p6_assigned": p6_assigned, "p7_found": p7_found, "p7_reparameterised": p7_reparameterised, "p8_found": p8_found, "p8_shared_share": p8_shared_share, "p8_paragraph_repeats": p8_paragraph_repeats}

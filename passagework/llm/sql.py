@@ -32,6 +32,12 @@ SELECT DISTINCT record_kind, doc_id, item_no FROM (
   SELECT 'chunk' AS record_kind, doc_id, chunk_index AS item_no, {_tokens("content")} AS b, {_tokens("section_path")} AS t FROM chunks
   UNION ALL SELECT 'block', doc_id, block_pos, {_tokens("block_text", "CASE WHEN block_type = 'code' THEN 2.9 ELSE 3.8 END")}, {_tokens("array_to_string(heading_path, ' > ')")} FROM blocks)
 WHERE b + t > 700 AND b > 0""",
+    "p5_coverage": f"""
+SELECT record_kind, doc_id, item_no, CAST(n AS BIGINT) AS n_chars, true AS sound FROM (
+  SELECT 'chunk' AS record_kind, doc_id, chunk_index AS item_no, length(content) AS n, {_tokens("content")} AS b, {_tokens("section_path")} AS t FROM chunks
+  UNION ALL SELECT 'block', doc_id, block_pos, length(block_text), {_tokens("block_text", "CASE WHEN block_type = 'code' THEN 2.9 ELSE 3.8 END")}, {_tokens("array_to_string(heading_path, ' > ')")} FROM blocks)
+WHERE b + t > 700 AND b > 0""",
+    "p6_assigned": "SELECT doc_id, count(*) AS n_rows, true AS whole FROM documents GROUP BY 1",
     "p7_found": f"""
 WITH c AS (SELECT case_id, {_WORDS % "question"} AS w FROM eval_cases UNION ALL SELECT case_id, {_WORDS % "passage"} FROM eval_cases),
 d AS (SELECT doc_id, {_WORDS % "text"} AS w FROM documents),

@@ -134,3 +134,18 @@ def test_best_fit():
         assert p == used.get(s, 0)
         used[s] = p + n
     assert max(used.values()) <= 100
+
+
+def test_windows_keep_to_a_target_mixture(spark):
+    from passagework.llm import packing as pk
+
+    r = random.Random(3)
+    rows = [(i, ["big", "mid", "small", None][min(3, int(r.random() ** 2 * 4))], "word " * r.randrange(1, 300)) for i in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    p = pk.Packing(capacity=512, window=16, shard_tokens=60_000, shares={"big": 0.4, "mid": 0.3, "small": 0.3})
+    got = {x.source: x for x in pk.mixture_report(pk.pack(docs, p), pk.target_shares(pk.measured_items(docs, p), p)).collect()}
+    assert set(got) == {"big", "mid", "small"}
+    for s, x in got.items():
+        assert abs(x.served_share - x.target_share) < 0.02 and x.worst_deviation < 300 / (512 * 16) * 2, (s, x)
+    tempered = {x.source: x.share for x in pk.target_shares(pk.measured_items(docs, p), pk.Packing(temper=0.0)).collect()}
+    assert all(abs(v - 0.25) < 1e-9 for v in tempered.values()) and None in tempered
