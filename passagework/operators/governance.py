@@ -76,10 +76,17 @@ def spent_since_midnight(outcomes: DataFrame, now: Column) -> DataFrame:
 def budget_exhausted(outcomes: DataFrame, budget: float | None) -> DataFrame:
     """outcome_id, refused: whether what was spent that day before the request had reached the budget; no budget refuses
     nothing. Ties in time are taken in the order of their ids."""
-    day = F.to_date("created_at")
-    before = Window.partitionBy(day).orderBy("created_at", "outcome_id").rowsBetween(Window.unboundedPreceding, -1)
-    spent = F.coalesce(F.sum("estimated_cost_usd").over(before), F.lit(0))
-    return outcomes.select("outcome_id", (spent >= F.lit(budget) if budget is not None else F.lit(False)).alias("refused"))
+    if budget is None:
+        return outcomes.select("outcome_id", F.lit(False).alias("refused"))
+    # a day is cut into minutes: one row per minute carries what the day had spent before it, so no task holds a day
+    minute = F.date_trunc("minute", F.col("created_at"))
+    rows = outcomes.select("outcome_id", "created_at", "estimated_cost_usd", F.to_date("created_at").alias("day"), minute.alias("minute"))
+    earlier = lambda *keys: Window.partitionBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    per = rows.groupBy("day", "minute").agg(F.sum("estimated_cost_usd").alias("cost"))
+    per = per.select("minute", F.coalesce(F.sum("cost").over(earlier("day").orderBy("minute")), F.lit(0)).alias("day_before"))
+    within = F.coalesce(F.sum("estimated_cost_usd").over(earlier("minute").orderBy("created_at", "outcome_id")), F.lit(0))
+    each = rows.withColumn("within", within).join(per, "minute", "left")
+    return each.select("outcome_id", (F.coalesce("day_before", F.lit(0)) + F.col("within") >= F.lit(budget)).alias("refused"))
 
 
 def membership_changes(current: DataFrame, desired: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """Keyword search, vector search, rank fusion and their combination, for one caller or for a table of requests.
 
 A table of requests is answered in bounded blocks: a block of requests is sent to the executors, every batch of chunks
-is scored against it in one go and keeps its own best k per request, and only those meet in the ranking window. The
+is scored against it in one go, a task keeps its best k per request, and only those meet in the ranking window. The
 chunks are read once per block and never shuffled. The access list is applied in the scorer, below the top k.
 """
 
@@ -123,15 +123,28 @@ def search_vector(chunks: DataFrame, request: Request, vector: list[float]) -> D
 TOP = "request_id string, chunk_id long, score double"
 
 
-def _top_of_batch(scores: np.ndarray, ids: np.ndarray, requests: np.ndarray, k: int) -> pd.DataFrame:
-    """scores (requests, chunks), -inf where not allowed. The k best of each row, ties included as far as they matter."""
+def _best_of(kept: tuple | None, new: tuple, k: int) -> tuple:
+    """(row of the request, chunk id, score): the k best of each request of both; ties go to the lesser id."""
+    if kept is None:
+        return new
+    row, ids, scores = (np.concatenate(x) for x in zip(kept, new))
+    order = np.lexsort((ids, -scores, row))
+    row, ids, scores = row[order], ids[order], scores[order]
+    first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])) if len(row) else np.empty(0, int)
+    place = np.arange(len(row)) - np.repeat(first, np.diff(np.append(first, len(row))))
+    return row[place < k], ids[place < k], scores[place < k]
+
+
+def _top_of_batch(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple:
+    """scores (requests, chunks), -inf where not allowed. (row, id, score) of the k best of each row; of equal scores the
+    lesser ids."""
     take = min(k, scores.shape[1])
     order = np.argsort(ids, kind="stable")  # a stable descending sort then leaves the lesser id first
     scores, ids = scores[:, order], ids[order]
     top = np.argsort(-scores, axis=1, kind="stable")[:, :take] if scores.shape[1] <= 4 * take else _best(scores, take)
     s = np.take_along_axis(scores, top, 1)
     keep = np.isfinite(s)
-    return pd.DataFrame({"request_id": np.repeat(requests, take)[keep.ravel()], "chunk_id": ids[top][keep], "score": s[keep]})
+    return np.repeat(np.arange(len(scores)), take)[keep.ravel()], ids[top][keep], s[keep]
 
 
 def _best(scores: np.ndarray, take: int) -> np.ndarray:
@@ -171,13 +184,16 @@ def _answer(chunks: DataFrame, requests: DataFrame, score: Callable[[pd.DataFram
 
         def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             asked = shared.value
-            names, groups = asked["request_id"].to_numpy(), asked["group_ids"].tolist()
+            groups, kept = asked["group_ids"].tolist(), None
             for pdf in batches:
                 if not len(pdf):
                     continue
                 s = score(asked, pdf)
                 s[~_allowed(pdf["access_group_ids"], groups)] = -np.inf
-                yield _top_of_batch(s, pdf["chunk_id"].to_numpy(), names, limit)
+                kept = _best_of(kept, _top_of_batch(s, pdf["chunk_id"].to_numpy(), limit), limit)
+            if kept is not None:
+                row, ids, scores = kept
+                yield pd.DataFrame({"request_id": asked["request_id"].to_numpy()[row], "chunk_id": ids, "score": scores})
 
         part = chunks.mapInPandas(run, TOP)
         out = part if out is None else out.unionByName(part)

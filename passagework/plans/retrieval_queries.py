@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from passagework.functions import text as tx
 from passagework.functions.access import Request, may_see
 from passagework.operators import retrieval as rt
-from passagework.workspace import table
+from passagework.workspace import materialise, table
 
 MODEL = "nw-embed-2"
 
@@ -30,7 +30,8 @@ def requests(spark: SparkSession, d: str) -> DataFrame:
     usable = current(chunks(spark, d)).where((F.size("embedding") == 64) & usable_vector("embedding")).select("doc_id", "chunk_id", "embedding")
     own = about.join(usable, "doc_id").groupBy("request_id").agg(F.min_by("embedding", "chunk_id").alias("own"))
     full = asked.withColumn("vec_id", F.col("n") % count).join(vectors, "vec_id", "left").join(own, "request_id", "left")
-    return full.select("request_id", "question", "group_ids", F.coalesce("own", "vector").alias("vector"))
+    # written once: it is counted, sent to the executors and joined
+    return materialise(full.select("request_id", "question", "group_ids", F.coalesce("own", "vector").alias("vector")), "requests")
 
 
 def chunks(spark: SparkSession, d: str) -> DataFrame:
