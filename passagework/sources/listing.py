@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from passagework.functions import text as tx
+from passagework.workspace import materialise
 
 LISTING = "source string, source_uri string, title string, source_type string, revision string, access_groups array<string>, department string, doc_type string, classification string, size long, content_path string"
 
@@ -134,6 +135,8 @@ class _TreeReader(DataSourceReader):
         get, repo = recorded_transport(self.o["recording"]), self.o["repo"]
         branch = self.o.get("branch") or get(f"/repos/{repo}")["default_branch"]
         tree = get(f"/repos/{repo}/git/trees/{branch}?recursive=1")
+        if tree.get("truncated"):  # what is not listed would be taken for removed
+            raise ListingError(f"{repo}: the tree is cut short; list its folders one by one")
         include = tuple(p for p in self.o.get("include", "").split(",") if p)
         groups, most = [g for g in self.o["groups"].split(",") if g], int(self.o.get("max_bytes", 1_000_000))
         if not groups:
@@ -151,9 +154,25 @@ def decode_blob(answer: dict) -> bytes:
     return base64.b64decode(answer["content"]) if answer.get("encoding") == "base64" else answer["content"].encode()
 
 
+#: Paths named to one read.
+PATH_BLOCK = 10_000
+
+
 def fetch_changed(spark: SparkSession, listing: DataFrame, plan: DataFrame, folder: str) -> DataFrame:
-    """source_uri, source_type, content of the files that a sync plan wants read. Files are matched before their bytes are
-    taken, and rows carry bytes only for those."""
+    """source_uri, source_type, content of the files below `folder` that a sync plan wants read. Only their paths reach the
+    driver, in blocks, and only these files are opened."""
     wanted = listing.join(plan.where(F.col("status").isin("ingested", "updated")).select("source", "source_uri"), ["source", "source_uri"], "left_semi").select("source_uri", "source_type", F.col("content_path").alias("path"))
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", "content")
-    return wanted.join(files, "path").select("source_uri", "source_type", "content")
+    wanted, out, block = materialise(wanted, "wanted-files"), None, []
+
+    def opened(paths: list[str]) -> DataFrame:
+        return spark.read.format("binaryFile").load(paths).select("path", "content")
+
+    for row in wanted.select("path").distinct().toLocalIterator():
+        block.append(re.sub(r"([{}\[\]*?\\])", r"\\\1", row.path))  # names are no patterns
+        if len(block) == PATH_BLOCK:
+            out, block = opened(block) if out is None else out.unionByName(opened(block)), []
+    if block:
+        out = opened(block) if out is None else out.unionByName(opened(block))
+    if out is None:
+        return wanted.select("source_uri", "source_type", F.lit(None).cast("binary").alias("content")).limit(0)
+    return wanted.join(out, "path").select("source_uri", "source_type", "content")

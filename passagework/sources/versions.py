@@ -1,11 +1,14 @@
-"""Versions of several tables that change together. A version is a folder; which one is current is said by a pointer file
-that is replaced in one rename, so a reader sees either all of a change or none of it."""
+"""Versions of several tables that change together. A table's version is a folder; a numbered pointer file names the folders
+of a version of all of them. A file is written beside and renamed to its number without overwriting: a reader sees either
+all of a change or none of it, and of two writers that began from the same version one fails. Renames are atomic on
+distributed file systems; an object store needs one that refuses to overwrite."""
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -26,39 +29,49 @@ class VersionedTables:
         finally:
             stream.close()
 
-    def current(self) -> dict[str, str]:
+    def _version(self) -> int:
+        """The number of the last version, 0 for none."""
+        folder = self._path(f"{self.root}/_versions")
+        names = [f.getPath().getName() for f in self._fs.listStatus(folder)] if self._fs.exists(folder) else []
+        return max((int(n) for n in names if n.isdigit()), default=0)
+
+    def current(self, version: int | None = None) -> dict[str, str]:
         """Table name to folder."""
-        text = self._read("CURRENT")
+        n = self._version() if version is None else version
+        text = self._read(f"_versions/{n:010d}") if n else None
         return dict(line.split("\t") for line in text.splitlines()) if text else {}
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(self.current()[name])
 
-    def commit(self, changed: dict[str, DataFrame]) -> dict[str, str]:
-        """Writes the changed tables into new folders and moves the pointer; unchanged ones stay where they are. Refuses if
-        the pointer moved meanwhile."""
-        before = self._read("CURRENT")
-        now = self.current()
+    def commit(self, changed: dict[str, DataFrame], base: int | None = None) -> dict[str, str]:
+        """Writes the changed tables into new folders and adds a version after `base`, the last one if not given; unchanged
+        tables stay where they are. Refuses if another writer has added that version meanwhile."""
+        base = self._version() if base is None else base
+        now = self.current(base)
         for name, df in changed.items():
             path = f"{self.root}/{name}/{uuid.uuid4().hex}"
             df.write.parquet(path)
             now[name] = path
-        if self._read("CURRENT") != before:
-            raise RuntimeError("another writer committed first")
-        tmp = self._path(f"{self.root}/.{uuid.uuid4().hex}")
+        tmp = self._path(f"{self.root}/_versions/.{uuid.uuid4().hex}")
         stream = self._fs.create(tmp)
         stream.write(bytearray("".join(f"{k}\t{v}\n" for k, v in sorted(now.items())).encode()))
         stream.close()
-        target = self._path(f"{self.root}/CURRENT")
-        context = self.spark.sparkContext._jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
-        rename = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Options.Rename
-        options = self.spark.sparkContext._gateway.new_array(rename, 1)
-        options[0] = rename.OVERWRITE
-        context.rename(tmp, target, options)
+        jvm = self.spark.sparkContext._jvm
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(tmp.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        none = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+        try:
+            context.rename(tmp, self._path(f"{self.root}/_versions/{base + 1:010d}"), none)
+        except Py4JJavaError as e:
+            self._fs.delete(tmp, False)
+            if "FileAlreadyExists" in str(e.java_exception):
+                raise RuntimeError("another writer committed first") from e
+            raise
         return now
 
     def update(self, change: Callable[[dict[str, DataFrame]], dict[str, DataFrame]]) -> dict[str, str]:
-        return self.commit(change({n: self.spark.read.parquet(p) for n, p in self.current().items()}))
+        base = self._version()
+        return self.commit(change({n: self.spark.read.parquet(p) for n, p in self.current(base).items()}), base)
 
 
 def append_only(df: DataFrame, path: str) -> None:

@@ -141,6 +141,28 @@ def test_folder_listing_and_changed_content(spark, tmp_path):
         ls.folder_listing(spark, str(tmp_path), m).collect()
 
 
+def test_only_changed_files_are_opened(spark, tmp_path):
+    for n in ("a [1].md", "b.md", "c.md"):
+        (tmp_path / n).write_text(n)
+    rows = [("s", n, "markdown", f"file:{tmp_path}/{n}") for n in ("a [1].md", "b.md", "c.md")]
+    listing = spark.createDataFrame(rows, "source string, source_uri string, source_type string, content_path string")
+    plan = spark.createDataFrame([("s", "a [1].md", "updated"), ("s", "b.md", "ingested"), ("s", "c.md", "unchanged")], "source string, source_uri string, status string")
+    got = ls.fetch_changed(spark, listing, plan, str(tmp_path))
+    assert {r.source_uri: bytes(r.content).decode() for r in got.collect()} == {"a [1].md": "a [1].md", "b.md": "b.md"}
+    assert not any("c.md" in f for f in got.inputFiles())
+    assert ls.fetch_changed(spark, listing, plan.limit(0), str(tmp_path)).count() == 0
+
+
+def test_two_writers_from_one_version(spark, tmp_path):
+    t = VersionedTables(spark, f"file://{tmp_path}/w")
+    t.commit({"a": spark.range(1)})
+    base = t._version()
+    t.commit({"a": spark.range(2)}, base)
+    with pytest.raises(RuntimeError, match="another writer"):
+        t.commit({"a": spark.range(3)}, base)
+    assert t.table("a").count() == 2 and t.current(base) != t.current()
+
+
 def test_repository_listing(spark, tmp_path):
     tree = [{"path": "README.md", "type": "blob", "sha": "1", "size": 5}, {"path": "docs/readme.md", "type": "blob", "sha": "2", "size": 5}, {"path": "docs/big.txt", "type": "blob", "sha": "3", "size": 2_000_000}, {"path": "docs", "type": "tree", "sha": "4"}, {"path": "docs/x.py", "type": "blob", "sha": "5", "size": 1}]
     rec = tmp_path / "rec.json"
@@ -150,6 +172,9 @@ def test_repository_listing(spark, tmp_path):
     assert {(r.source_uri, r.title, r.revision) for r in df.collect()} == {("README.md", "Readme", "1"), ("docs/readme.md", "Docs", "2")}
     only = spark.read.format("repository_tree").option("repo", "o/r").option("recording", str(rec)).option("groups", "all").option("include", "docs/").load()
     assert only.count() == 1
+    rec.write_text(json.dumps({"/repos/o/r": {"default_branch": "main"}, "/repos/o/r/git/trees/main?recursive=1": {"tree": tree, "truncated": True}}))
+    with pytest.raises(Exception, match="cut short"):
+        df.collect()
     assert ls.decode_blob({"encoding": "base64", "content": "aGk="}) == b"hi"
 
 
