@@ -101,9 +101,21 @@ def test_fusion(spark):
 
 
 def test_ties_of_the_batch_scorer_go_to_the_lesser_id():
-    scores = np.array([[1.0, 2.0, 2.0, 2.0, -np.inf]])
-    got = rt._top_of_batch(np.repeat(scores, 1, 0), np.array([5, 9, 4, 7, 1]), np.array(["q"]), 2)
-    assert got["chunk_id"].tolist() == [4, 7]
+    row, ids, scores = rt._top_of_batch(np.array([[1.0, 2.0, 2.0, 2.0, -np.inf]]), np.array([5, 9, 4, 7, 1]), 2)
+    assert (row.tolist(), ids.tolist(), scores.tolist()) == ([0, 0], [4, 7], [2.0, 2.0])
+
+
+def test_the_best_of_all_batches_of_a_task():
+    r = np.random.default_rng(2)
+    scores, ids, k = np.round(r.random((7, 90)), 1), r.permutation(90), 4
+    scores[r.random(scores.shape) < 0.3] = -np.inf
+    scores[3] = -np.inf  # nothing that this request may see
+    kept = None
+    for part in np.array_split(np.arange(90), 6):
+        kept = rt._best_of(kept, rt._top_of_batch(scores[:, part].copy(), ids[part], k), k)
+    got = {(int(q), int(i), float(s)) for q, i, s in zip(*kept)}
+    want = {(q, i, s) for q in range(7) for s, i in sorted(((-float(s), int(i)) for s, i in zip(scores[q], ids) if np.isfinite(s)))[:k] for s in [-s]}
+    assert got == want
 
 
 def test_recheck_blocks_alone(chunks):
