@@ -43,8 +43,8 @@ class _Limiter(StatefulProcessor):
 
 
 def limited_stream(hits: DataFrame, limit: int, seconds: int) -> DataFrame:
-    """hits: a stream of key, hit_id, us (microseconds). At most `limit` moments are kept per key, idle keys for a window.
-    Needs the RocksDB state store."""
+    """hits: a stream of key, hit_id, us (microseconds). At most `limit` moments are kept per key, and a key is kept
+    once it has been seen. Needs the RocksDB state store."""
     return hits.groupBy("key").transformWithStateInPandas(_Limiter(limit, seconds * 1_000_000), DECISIONS, "append", "none")
 
 
