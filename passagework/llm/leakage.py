@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -30,7 +31,7 @@ SPELLED = frozenset("zero one two three four five six seven eight nine ten eleve
 NUMBER, NAME, UNIT = "\x01number", "\x01name", "\x01unit"
 #: Held-out window hashes are sent to every executor up to this size, beyond it windows are shuffled.
 MAX_BROADCAST_BYTES = 64 << 20
-#: Words of the held-out texts that are sent to executors at most.
+#: Words of the held-out texts that are sent to executors at most; beyond it those of few cases are joined.
 MAX_NAMES = 1_000_000
 
 
@@ -41,9 +42,8 @@ def name_lexicon(cases: DataFrame, text: str = "body") -> DataFrame:
     return seen.groupBy("word").agg(F.min("capital").alias("always")).where("always").select("word")
 
 
-def literal_words(held: DataFrame, most: int) -> list[frozenset[str]] | None:
-    """Two choices of the words that stay as they are: those of the held-out texts that are no names, and of these the ones
-    that more than one case has, so that coined words of one case are slots too. None beyond `most` words."""
+def literal_words(held: DataFrame) -> DataFrame:
+    """word, n: the words of the held-out texts that are no names, and the number of cases that have them."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -51,8 +51,40 @@ def literal_words(held: DataFrame, most: int) -> list[frozenset[str]] | None:
             yield pd.DataFrame(list(pairs), columns=["id", "word"])
 
     seen = held.select("id", "body").mapInPandas(run, "id string, word string").groupBy("word").agg(F.count_distinct("id").alias("n"))
-    found = seen.join(name_lexicon(held), "word", "left_anti").limit(most + 1).collect()
-    return None if len(found) > most else [frozenset(r.word for r in found), frozenset(r.word for r in found if r.n > 1)]
+    return seen.join(name_lexicon(held), "word", "left_anti")
+
+
+def split_literals(lexicon: DataFrame, most: int) -> tuple[list[frozenset[str]], DataFrame | None]:
+    """Two choices of the words that stay as they are: those of literal_words(), and of these the ones that more than one case
+    has, so that coined words of one case are slots too. Beyond `most` words the lists hold those that most cases have, and the
+    others come as the second result, for joining."""
+    least, total = None, 0
+    for r in sorted(lexicon.groupBy("n").count().collect(), reverse=True):
+        if (total := total + r["count"]) > most:
+            break
+        least = r.n
+    rest = None
+    if total > most:
+        # words of one number of cases are sent all or none
+        rest = lexicon if least is None else lexicon.where(F.col("n") < least)
+        lexicon = lexicon.limit(0) if least is None else lexicon.where(F.col("n") >= least)
+    found = lexicon.toPandas()
+    return [frozenset(found["word"]), frozenset(found["word"][found["n"] > 1])], rest
+
+
+def with_own_literals(texts: DataFrame, literals, rest: DataFrame, width: int) -> DataFrame:
+    """texts with two columns, `own` and `own_common`: which words of `rest` a text has, and which of these more than one case
+    has. Only words that `literals`, the lists sent, leave open travel, once a text."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        canon = _Canon(literals.value[0])
+        for pdf in batches:
+            found = {body_id: {w for w in ws if canon[w] == NAME} for body_id, ws in ((b, words(t)) for b, t in zip(pdf["body_id"], pdf["body"])) if len(ws) >= width}
+            yield pd.DataFrame([(b, w) for b, ws in found.items() for w in ws], columns=["body_id", "word"])
+
+    open_words = texts.select("body_id", "body").mapInPandas(run, "body_id long, word string")
+    own = open_words.join(rest, "word").groupBy("body_id").agg(F.collect_set("word").alias("own"), F.collect_set(F.when(F.col("n") > 1, F.col("word"))).alias("own_common"))
+    return texts.join(own, "body_id", "left")
 
 
 class _Canon(dict):
@@ -76,7 +108,7 @@ SCHEMA = f"{KEYS}, filled array<string>"
 
 def _template_windows(literals, keep, width: int, least_slots: int, most_slots: int, filled: bool):
     """literals: a set of literal words per way of writing templates, each also with words that have a capital inside a
-    sentence as names; None for one way without names. keep: sorted hashes of held-out windows, or None for all windows. filled: whether
+    sentence as names; None for one way without names. A text may have further literal words of its own, a column per way. keep: sorted hashes of held-out windows, or None for all windows. filled: whether
     the words in the slots are given out too."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -86,11 +118,12 @@ def _template_windows(literals, keep, width: int, least_slots: int, most_slots:
         number, name, unit = (np.uint64(memo[x]) for x in (NUMBER, NAME, UNIT))
         for pdf in batches:
             ids, own, pos, tem, slo, fil = [], [], [], [], [], []
-            for i, text, body_id in zip(pdf["id"], pdf["body"], pdf["body_id"]):
+            further = zip(pdf["own"], pdf["own_common"]) if "own" in pdf else repeat([None] * len(canons))
+            for i, text, body_id, more in zip(pdf["id"], pdf["body"], pdf["body_id"], further):
                 ws = words(text)
                 if len(ws) < width:
                     continue
-                ways = [memo.of([c[w] for w in ws]) for c in canons]
+                ways = [memo.of([w if w in x else c[w] for w in ws] if x else [c[w] for w in ws]) for c, x in zip(canons, (m if m is None else frozenset(m) for m in more))]
                 if sets is not None:
                     capital = inner_capitals(text)
                     ways += [np.where(capital & (h != number), name, h) for h in ways]
@@ -148,10 +181,17 @@ def held_out_texts(cases: DataFrame) -> DataFrame:
 def template_matches(documents: DataFrame, cases: DataFrame, width: int = WINDOW, max_broadcast: int = MAX_BROADCAST_BYTES, names: bool = False, least_slots: int = 0, most_slots: int = WINDOW, filled: bool = False) -> tuple[DataFrame, DataFrame]:
     """Windows of held-out texts and windows of documents that may match them. documents: doc_id, text. With `names` every
     word that the held-out texts do not have is a name, whatever its case and place, so a copy with new names meets its
-    original; beyond MAX_NAMES words only capitals inside a sentence tell names."""
+    original; beyond MAX_NAMES words the rarer ones are joined to the texts that have them, with the same result."""
     spark = documents.sparkSession
     held = held_out_texts(cases).withColumn("body_id", F.xxhash64("body"))
-    literals = spark.sparkContext.broadcast(literal_words(held, MAX_NAMES) or [None]) if names else None
+    docs = documents.select(F.col("doc_id").cast("string").alias("id"), F.col("text").alias("body"), F.xxhash64("text").alias("body_id")).where("text is not null")
+    literals = None
+    if names:
+        # written once: it is counted, sent and joined
+        sent, rest = split_literals(materialise(literal_words(held), "leak-words"), MAX_NAMES)
+        literals = spark.sparkContext.broadcast(sent)
+        if rest is not None:
+            held, docs = (with_own_literals(x, literals, rest, width) for x in (held, docs))
     make = lambda keep: _template_windows(literals, keep, width, least_slots, most_slots, filled)
     # written once: it is counted, sent and joined
     theirs = materialise(held.mapInPandas(make(None), SCHEMA if filled else KEYS), "leak-held-out")
@@ -160,7 +200,6 @@ def template_matches(documents: DataFrame, cases: DataFrame, width: int = WINDOW
     if count * 8 * 1.2 <= max_broadcast:
         hashes = theirs.select("template").distinct().toPandas()["template"].to_numpy(np.int64)
         keep = spark.sparkContext.broadcast(np.sort(hashes.view(np.uint64)))
-    docs = documents.select(F.col("doc_id").cast("string").alias("id"), F.col("text").alias("body"), F.xxhash64("text").alias("body_id")).where("text is not null")
     mine = docs.mapInPandas(make(keep), SCHEMA if filled else KEYS)
     return theirs, mine
 

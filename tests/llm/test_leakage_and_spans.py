@@ -83,6 +83,31 @@ def test_more_held_out_words_than_are_sent(spark, monkeypatch):
     assert {x.doc_id for x in lk.reparameterised_leaks(d, c).collect()} == {2}
 
 
+def test_names_are_told_alike_however_many_words_are_sent(spark, monkeypatch):
+    other = "Has the desk agreed to a new onboarding kit in weeks since it pays for once passed credits have"
+    c = cases(spark, ("a", Q, None), ("b", other, Q.replace("orlan", "zhugkelz")), ("c", other, ""), (None, None, "The desk"))
+    swap = lambda t, **by: " ".join(by.get(w.strip("."), w) + "." * w.endswith(".") for w in t.split())
+    new = swap(Q, Port="Nether", Sable="Wickholm", Vinmoor="Ostrava")
+    texts = [new, new.lower(), swap(Q, orlan="qeshtwyx"), swap(Q, Vinmoor="Kit"), Q, swap(Q, the="those", pays="gives", kit="box", weeks="apples", have="had"), new, "", None, "The desk"]
+    d = docs(spark, *enumerate(texts), (None, new))
+    found = {}
+    for most in (1_000_000, 20, 8, 3, 0):
+        monkeypatch.setattr(lk, "MAX_NAMES", most)
+        found[most] = sorted(map(str, lk.reparameterised_leaks(d, c).collect()))
+    assert all(x == found[1_000_000] for x in found.values())
+    assert {(x.case_id, x.doc_id) for x in lk.reparameterised_leaks(d, c).collect()} >= {(i, k) for i in "ab" for k in (0, 1, 2, 3, 6, None)}
+
+
+def test_words_of_most_cases_are_sent_and_the_others_joined(spark):
+    lexicon = spark.createDataFrame([("the", 9), ("desk", 3), ("kit", 3), ("orlan", 1), ("vault", 1)], "word string, n long")
+    split = lambda most: (lambda sent, rest: ([sorted(x) for x in sent], rest and sorted(r.word for r in rest.collect())))(*lk.split_literals(lexicon, most))
+    assert split(5) == ([["desk", "kit", "orlan", "the", "vault"], ["desk", "kit", "the"]], None)
+    assert split(4) == split(3) == ([["desk", "kit", "the"]] * 2, ["orlan", "vault"])
+    assert split(2) == ([["the"]] * 2, ["desk", "kit", "orlan", "vault"])
+    assert split(0) == ([[]] * 2, ["desk", "kit", "orlan", "the", "vault"])
+    assert lk.split_literals(lexicon.limit(0), 0) == ([frozenset()] * 2, None)
+
+
 def test_leakage_dirt(spark):
     c = cases(spark, ("a", None, None), ("b", "", "short"), ("c", Q, Q), ("c", Q, Q))
     d = docs(spark, (1, None), (2, ""), (3, Q), (3, Q), (4, "pad " * 30_000 + Q), (None, "nothing"))
